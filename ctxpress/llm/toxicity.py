@@ -1,7 +1,7 @@
 """Operator 6: toxicity by non-negative positive-unlabelled (nnPU) learning.
 
 Confirmed toxic documents are the positives; all other text is unlabelled, as toxic documents hide in it too. Words
-that are far more frequent in positives than in unlabelled texts (signed G-test over both) become binary features, and
+and word beginnings that are far more frequent in positives than in unlabelled texts (G-test) become binary features, and
 a few numpy classifiers minimise the class-prior-corrected risk  pi * R+(f) + max(0, Ru-(f) - pi * R+-(f))  with the
 sigmoid loss; where the second term falls below zero the step goes against its gradient (Kiryo et al., 2017). The
 score is the mean of the members, scaled so that the share of the unlabelled at 0.7 or more is the class prior.
@@ -27,8 +27,10 @@ _P = "__ctx_"
 _FOLD = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 32 if b < 128 else b for b in range(256))
 
 
-def words_of(text: str) -> set[bytes]:
-    return set(text.encode("utf-8").translate(_FOLD).split())
+def features_of(text: str) -> set[bytes]:
+    """The distinct words of a text and, marked by a star, their first four and five bytes (stems of inflected words)."""
+    words = set(text.encode("utf-8").translate(_FOLD).split())
+    return words | {w[:4] + b"*" for w in words} | {w[:5] + b"*" for w in words}
 
 
 @dataclass(frozen=True)
@@ -41,7 +43,7 @@ class Model:
     shift: float = 0.0
 
     def score(self, text: str) -> float:
-        found = self.weights.keys() & words_of(text) if self.weights else ()
+        found = self.weights.keys() & features_of(text) if self.weights else ()
         z = self.scale * (self.bias + sum(self.weights[w] for w in sorted(found))) + self.shift
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
@@ -81,12 +83,12 @@ def _training_rows(docs: DataFrame, labels: DataFrame, learns, max_positive: int
     sample = sample.select(F.coalesce("positive", F.lit(False)).alias("positive"), (order < part).alias("unlabelled"), "text")
 
     def make():
-        return lambda texts: {f"{_P}words": pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.binary()))}
+        return lambda texts: {f"{_P}words": pa.array([sorted(features_of(t)) for t in texts], pa.list_(pa.binary()))}
 
     return materialize(append_columns(sample, f"{_P}words array<binary>", make).drop("text"), "sample"), (n_toxic + 0.5) / (n + 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, learns=None, max_positive: int = 4000, max_unlabelled: int = 16_000, features: int = 256, members: int = 3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learns=None, max_positive: int = 2000, max_unlabelled: int = 8000, features: int = 256, members: int = 3) -> Model:
     """Fits the model; ``learns`` is the condition on doc_id under which labels and texts may be learnt from.
 
     Without positives, or if no word sets them apart, the model has no features and scores every text alike, low.
@@ -123,8 +125,7 @@ def fit_model(vocabulary: list[bytes], p: np.ndarray, u: np.ndarray, prior: floa
     w, b = np.mean([f[0] for f in fits], axis=0), float(np.mean([f[1] for f in fits]))
     f = np.sort(u @ w + b)
     cut = threshold(f, p @ w + b, prior)
-    spread = max(1e-3, float(np.mean(p @ w + b) - np.median(f)))
-    scale = 6.0 / spread
+    scale = 4.0 / max(0.05, cut - float(np.median(f)))  # the middle of the unlabelled then scores 0.04
     return Model(dict(zip(vocabulary, w.astype(float).tolist(), strict=True)), b, scale, float(np.log(0.7 / 0.3) - scale * cut))
 
 
