@@ -12,12 +12,10 @@ points, loss) over the formatted text; loss covers each assistant text and no ma
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxpress.llm.common import read
+from ctxpress.llm.common import let, read
 
 TURN, TEXT, NEXT, END = "<|turn|>", "<|text|>", "<|next|>", "<|end|>"
 #: Control strings of this and of other common templates; every marker begins with the first.
@@ -37,11 +35,6 @@ def unescape(c: Column) -> Column:
     return c
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def merge_turns(turns: Column) -> Column:
     """Sorted array<struct<turn, role, text>> -> array<struct<role, texts>>, neighbours of one role together."""
     indexes = F.when(F.size(turns) > 0, F.sequence(F.lit(0), F.size(turns) - 1)).otherwise(F.array().cast("array<int>"))
@@ -54,7 +47,7 @@ def merge_turns(turns: Column) -> Column:
 
         return F.transform(starts, one)
 
-    return _let(starts, run)
+    return let(starts, run)
 
 
 def _pieces(run: Column, loss_role: str) -> Column:
@@ -75,13 +68,15 @@ def format_conversations(conversations: DataFrame, loss_role: str = "assistant")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), text("role"), text("text")).alias("t"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    runs = grouped.select("conv_id", merge_turns(F.col("turns")).alias("runs"))
-    pieces = runs.select("conv_id", F.flatten(F.transform("runs", lambda r: _pieces(r, loss_role))).alias("pieces"))
-    return pieces.select(
-        "conv_id",
-        F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"),
-        F.transform("pieces", lambda p: F.struct(F.length(p["s"]).alias("n"), p["loss"].alias("loss"))).alias("loss_mask"),
-    )
+
+    def whole(pieces: Column) -> Column:
+        return F.struct(
+            F.array_join(F.transform(pieces, lambda p: p["s"]), "").alias("formatted"),
+            F.transform(pieces, lambda p: F.struct(F.length(p["s"]).alias("n"), p["loss"].alias("loss"))).alias("loss_mask"),
+        )
+
+    pieces = lambda turns: F.flatten(F.transform(merge_turns(turns), lambda r: _pieces(r, loss_role)))
+    return grouped.select("conv_id", let(F.col("turns"), lambda turns: let(pieces(turns), whole)).alias("x")).select("conv_id", "x.formatted", "x.loss_mask")
 
 
 def parse_conversations(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -93,7 +88,7 @@ def parse_conversations(formatted: DataFrame, loss_role: str = "assistant") -> D
             role = unescape(F.substring(F.get(p, F.lit(0)), len(TURN) + 1, 1 << 30))
             return F.transform(cut(F.get(p, F.lit(1)), NEXT), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
-        return _let(cut(b, TEXT), both)
+        return let(cut(b, TEXT), both)
 
     blocks = F.filter(cut(F.col("formatted"), END), lambda b: b != "")
     turns = formatted.select("conv_id", "formatted", F.flatten(F.transform(blocks, block)).alias("turns"))

@@ -54,6 +54,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: no rule inlines a lambda's argument, as it does with columns."""
+    return F.transform(F.array(value), body)[0]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

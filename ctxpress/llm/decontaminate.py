@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxpress.llm.common import WORD_GAP, materialize, read, work_dir
+from ctxpress.llm.common import WORD_GAP, let, materialize, read, work_dir
 
 WIDTH = 5
 
@@ -28,34 +28,36 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), WORD_GAP), lambda w: w != "")
 
 
-def _windows(w: str, of) -> Column:
-    """``of(i)`` for each first index of a shingle of the array column ``w``; of fewer than five words, one of all."""
-    n = F.size(w)
-    full = F.transform(F.sequence(F.lit(0), n - WIDTH), of)
-    return F.when(n >= WIDTH, full).when(n > 0, F.array(of(F.lit(0))))
+def _windows(text: Column, of) -> Column:
+    """``of(words, i)`` for each first index of a shingle of a text; of fewer than five words, one of all; else none."""
 
+    def windows(w: Column) -> Column:
+        n = F.size(w)
+        return F.transform(F.when(n >= WIDTH, F.sequence(F.lit(0), n - WIDTH)).when(n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), lambda i: of(w, i))
 
-def hashed_shingles(w: str) -> Column:
-    return _windows(w, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WIDTH))))
+    return let(words(text), windows)
 
 
-def word_shingles(w: str) -> Column:
-    return F.array_distinct(_windows(w, lambda i: F.array_join(F.slice(F.col(w), i + 1, WIDTH), " ")))
+def hashed_shingles(text: Column) -> Column:
+    return _windows(text, lambda w, i: F.xxhash64(*(F.get(w, i + k) for k in range(WIDTH))))
+
+
+def word_shingles(text: Column) -> Column:
+    return F.array_distinct(_windows(text, lambda w, i: F.array_join(F.slice(w, i + 1, WIDTH), " ")))
 
 
 def sketch(docs: DataFrame, registers: int = 2) -> DataFrame:
-    """doc_id, size_class, minima: the MinHash minima of each document that has a word and an id."""
-    hashed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
-    hashed = hashed.select("doc_id", F.sort_array(hashed_shingles("w")).alias("h")).where("h is not null")
-    bits = F.ceil(F.log2(F.size("h"))).cast("int")
-    sized = hashed.select("doc_id", bits.alias("size_class"), "h", (F.lit(64 - (registers.bit_length() - 1)) - bits).alias("shift"))
+    """doc_id, minima: the MinHash minima of each document with an id, its registers by its size class; none without words."""
+    keep = 64 - (registers.bit_length() - 1)
 
-    def is_minimum(h: Column, i: Column) -> Column:
-        before = F.get("h", i - 1)
-        return (i == 0) | (F.call_function("shiftrightunsigned", h, F.col("shift")) != F.call_function("shiftrightunsigned", before, F.col("shift")))
+    def minima(h: Column, shift: Column) -> Column:
+        register = lambda x: F.call_function("shiftrightunsigned", x, shift)
+        # ascending hashes hold a register's hashes side by side, its least one first
+        return F.filter(h, lambda x, i: (i == 0) | (register(x) != register(F.get(h, i - 1))))
 
-    # ascending hashes hold a register's hashes side by side, its least one first
-    return sized.select("doc_id", "size_class", F.filter("h", is_minimum).alias("minima"))
+    size_class = lambda h: F.ceil(F.log2(F.greatest(F.size(h), F.lit(1)))).cast("int")
+    found = let(F.sort_array(hashed_shingles(F.col("text"))), lambda h: let(F.lit(keep) - size_class(h), lambda shift: minima(h, shift)))
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("minima"))
 
 
 def contained(docs: DataFrame, items: DataFrame, containment: float = 0.8, registers: int = 2, few: int = 8, small: int = 1_000_000) -> DataFrame:
@@ -68,9 +70,8 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = 0.8, regis
     spark = docs.sparkSession
     at = work_dir(spark)
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tests = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w"))
-    tests = tests.select("item_id", hashed_shingles("w").alias("h"), word_shingles("w").alias("shingles")).where("h is not null").distinct()
-    tests = materialize(tests, "tests", at)
+    tests = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), hashed_shingles(F.col("text")).alias("h"), word_shingles(F.col("text")).alias("shingles"))
+    tests = materialize(tests.distinct(), "tests", at).where(F.size("h") > 0)
     n_few = tests.where(F.size("shingles") < few).limit(1).count()
     probes = tests.select("item_id", F.explode(F.array_distinct("h")).alias("h"), (F.size("shingles") < few).alias("few"))
     probes = F.broadcast(probes) if probes.count() <= small else probes
@@ -78,14 +79,15 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = 0.8, regis
     minima = sketch(lean, registers).select("doc_id", F.explode("minima").alias("h"))
     found = minima.join(probes.where("not few").drop("few") if n_few else probes.drop("few"), "h").select("doc_id", "item_id")
     if n_few:  # items of few shingles: every shingle of a document is probed
-        every = lean.where("doc_id is not null").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(hashed_shingles("w")).alias("h"))
+        every = lean.where("doc_id is not null").select("doc_id", F.explode(hashed_shingles(F.col("text"))).alias("h"))
         found = found.unionByName(every.join(probes.where("few").drop("few"), "h").select("doc_id", "item_id"))
     pairs = materialize(found.distinct(), "pairs", at)
 
     ids = pairs.select("doc_id").distinct()
     ids = F.broadcast(ids) if ids.count() <= small else ids
-    texts = lean.join(ids, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", word_shingles("w").alias("d"))
+    texts = lean.join(ids, "doc_id", "left_semi").select("doc_id", word_shingles(F.col("text")).alias("d"))
     known = tests.select("item_id", F.col("shingles").alias("t"))
+    known = F.broadcast(known) if tests.count() <= small else known
     checked = texts.join(pairs, "doc_id").join(known, "item_id")
     checked = checked.select("doc_id", "item_id", F.size("t").cast("long").alias("n_shingles"), F.size(F.array_intersect("t", "d")).cast("long").alias("n_found"))
     best = checked.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_shingles", "n_found"), F.col("n_found") / F.col("n_shingles")).alias("x"))
