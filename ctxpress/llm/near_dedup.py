@@ -8,23 +8,27 @@ Jaccard similarity J_P, which is the plain Jaccard similarity where all weights
 Copies with equal text are one node from the start. Nodes that agree in a band of registers share a bucket. Of a
 bucket every member is first held against one centre only; components are built from the pairs that the exact J_P
 confirms. Where a bucket still spans several components, all members outside the largest one become centres in
-growing rounds until no pair of different components in it is left unverified. So a bucket of n near copies costs n
-pairs instead of n**2 / 2, no candidate is dropped, and there is no cap.
+growing rounds until every pair of different components in it is settled: a pair is verified unless an upper bound of
+its J_P, taken from both texts' shingle counts in ``SEGMENTS`` hash classes, is below the threshold already. So a
+bucket of n near copies costs about n pairs instead of n**2 / 2, no candidate is dropped, and there is no cap.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ctxpress.llm.common import materialize, read, work_dir
 from ctxpress.llm.components import connected
 from ctxpress.llm.shingles import mix, shingles, text_runs, weighted, weighted_set
 
 REGISTERS = 127  # a prime: start + i * stride runs through all registers
+SEGMENTS = 64
 _U = np.uint64
 
 
@@ -121,6 +125,36 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def _profiles(texts: DataFrame) -> DataFrame:
+    """node, size (number of shingles), flat (none of them repeated) and the number of shingles in each hash class."""
+    columns = [f"s{k}" for k in range(SEGMENTS)]
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, raw, offsets in text_runs(batch.column(1)):
+                owner, code, weight = weighted(*shingles(raw, offsets))
+                at = owner * SEGMENTS + (mix(code + _U(99)) >> _U(58)).astype(np.int64)
+                counts = np.bincount(at, weight, (hi - lo) * SEGMENTS).astype(np.int32).reshape(hi - lo, SEGMENTS)
+                flat = np.bincount(owner, weight > 1, hi - lo) == 0
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts.sum(axis=1), pa.int32()), pa.array(flat), *(pa.array(c) for c in counts.T)], names=["node", "size", "flat", *columns])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, size int, flat boolean, " + ", ".join(f"{c} int" for c in columns))
+
+
+def _may_match(similarity: float):
+    """Condition on two profiles (``a.``, ``b.``) that holds for every pair with a J_P of ``similarity`` or more.
+
+    Common shingles are at most the sum over the classes of the lesser count. Without repeats J_P is the Jaccard
+    similarity; with repeats it is at most the sum of the lesser shares, which the lesser counts over the greater
+    size bound.
+    """
+    common = reduce(add, (F.least(F.col(f"a.s{k}"), F.col(f"b.s{k}")) for k in range(SEGMENTS)))
+    both = F.col("a.size") + F.col("b.size")
+    share = reduce(add, (F.least(F.col(f"a.s{k}") / F.col("a.size"), F.col(f"b.s{k}") / F.col("b.size")) for k in range(SEGMENTS)))
+    slack = 1e-9
+    return F.when(F.col("a.flat") & F.col("b.flat"), common >= (both - common) * (similarity - slack)).otherwise(share >= similarity - slack)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 25, rows: int = 5, small: int = 500_000) -> DataFrame:
     """doc_id, node, class_id for every row of ``docs``: class_id is the least doc_id of the row's group.
 
@@ -146,25 +180,31 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 25, r
     links = materialize(_confirmed(pairs, texts, similarity), "links0", at)
     groups = materialize(connected(links, f"{at}/round0"), "groups0", at)
     done: DataFrame | None = None
+    profiles: DataFrame | None = None
     for k in range(1, 40):
-        most = 8**k
+        most = 64**k
         labelled = members_.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         labelled = materialize(labelled, f"labelled{k}", at)
         sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        spans = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1")
+        spans = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1")
+        hard = materialize(labelled.join(spans.select("bucket", "largest", "n"), "bucket"), f"hard{k}", at)
         # of each bucket that spans several components, the members outside the largest
-        outside = labelled.join(spans.select("bucket", "largest"), "bucket").where("component <> largest").select("bucket", "node", "component")
+        outside = hard.where("component <> largest").select("bucket", "node", "n")
         if done is not None:
             outside = outside.join(done, ["bucket", "node"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node"))
-        centres = materialize(outside.withColumn("turn", turn).where(F.col("turn") <= most).drop("turn"), f"centres{k}", at)
-        if centres.isEmpty():
+        outside = materialize(outside, f"outside{k}", at)
+        if outside.isEmpty():
             break
-        one = centres.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-        pairs = one.join(labelled.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb")), "bucket").where("ca <> cb")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if profiles is None:
+            profiles = materialize(_profiles(texts.join(hard.select("node").distinct(), "node", "left_semi")), "profiles", at)
+        turn = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 20)) * F.col("n") < F.lit(most << 20)  # all of a bucket of up to ``most``
+        centres = materialize(outside.where(turn).select("bucket", "node"), f"centres{k}", at)
+        full = materialize(hard.select("bucket", "node", "component").join(profiles, "node"), f"full{k}", at)
+        one = full.join(centres, ["bucket", "node"], "left_semi")
+        pairs = one.alias("a").join(full.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component")) & _may_match(similarity))
+        pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
         links = materialize(_confirmed(pairs, texts, similarity), f"links{k}", at)
-        done = centres.select("bucket", "node") if done is None else materialize(done.unionByName(centres.select("bucket", "node")), f"done{k}", at)
+        done = centres if done is None else materialize(done.unionByName(centres), f"done{k}", at)
         if not links.isEmpty():
             edges = links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
             groups = materialize(connected(edges, f"{at}/round{k}"), f"groups{k}", at)
