@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 25, r
     done: DataFrame | None = None
     profiles: DataFrame | None = None
     for k in range(1, 40):
-        most = 64**k
+        most = 2 * 16 ** (k - 1)
         labelled = members_.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         labelled = materialize(labelled, f"labelled{k}", at)
         sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
