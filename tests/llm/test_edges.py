@@ -138,7 +138,7 @@ def test_near_duplicate_chains_in_one_bucket(spark):
     base = [f"w{i}" for i in range(60)]
     texts = []
     for kind in range(3):
-        for k in range(120):
+        for k in range(66):
             words = [f"{kind}{w}" for w in base]
             words[k % 60] = f"x{k}"
             texts.append(" ".join(words))
@@ -147,12 +147,28 @@ def test_near_duplicate_chains_in_one_bucket(spark):
     from tests.llm.test_contracts import classes, j_p, shingle_counts
 
     sets = [shingle_counts(t) for t in texts]
-    links = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if a // 120 == b // 120 and len(sets[a].keys() & sets[b].keys()) > 40 and j_p(sets[a], sets[b]) >= 0.8]
+    links = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if a // 66 == b // 66 and len(sets[a].keys() & sets[b].keys()) > 40 and j_p(sets[a], sets[b]) >= 0.8]
     want = classes(range(len(texts)), links)
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
     assert links and got == want
 
 
+def test_components(spark):
+    import random
+
+    from ctxpress.llm.components import connected
+    from tests.llm.test_contracts import classes
+
+    rng = random.Random(1)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(400, 440)] + [(500, 600 + k) for k in range(50)]
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    table = spark.createDataFrame(edges, "a long, b long")
+    for few in (0, 10**6):
+        got = {r["node"]: r["component"] for r in connected(table, work_dir(spark), few=few).collect()}
+        assert got == classes(nodes, [e for e in edges if e[0] != e[1]])
+        assert connected(table.where("false"), work_dir(spark), few=few).count() == 0
+
+
 def test_length_histogram(spark, frames):
     full, empty = frames
     limits = length_histogram.limit_table(length_histogram.length_histogram(full))
