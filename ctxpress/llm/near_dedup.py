@@ -29,6 +29,7 @@ from ctxpress.llm.shingles import mix, shingles, text_runs, weighted, weighted_s
 
 REGISTERS = 127  # a prime: start + i * stride runs through all registers
 SEGMENTS = 64
+FINE = 128
 _U = np.uint64
 
 
@@ -126,7 +127,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFra
 
 
 def _profiles(texts: DataFrame) -> DataFrame:
-    """node, size (number of shingles), flat (none of them repeated) and the number of shingles in each hash class."""
+    """node, size (weight of its shingles), extra (what repeats add to it), the weight in each hash class, and ``fine``:
+    eighths, rounded up, in each of ``FINE`` smaller classes (null for a text too heavy for that)."""
     columns = [f"s{k}" for k in range(SEGMENTS)]
 
     def run(batches):
@@ -134,25 +136,29 @@ def _profiles(texts: DataFrame) -> DataFrame:
             for lo, hi, raw, offsets in text_runs(batch.column(1)):
                 owner, code, weight = weighted(*shingles(raw, offsets))
                 at = owner * SEGMENTS + (mix(code + _U(99)) >> _U(58)).astype(np.int64)
-                counts = np.bincount(at, weight, (hi - lo) * SEGMENTS).astype(np.int32).reshape(hi - lo, SEGMENTS)
-                flat = np.bincount(owner, weight > 1, hi - lo) == 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts.sum(axis=1), pa.int32()), pa.array(flat), *(pa.array(c) for c in counts.T)], names=["node", "size", "flat", *columns])
+                sums = np.bincount(at, weight, (hi - lo) * SEGMENTS).reshape(hi - lo, SEGMENTS)
+                extra = np.bincount(owner, weight - 1, hi - lo)
+                at = owner * FINE + (mix(code + _U(98)) >> _U(57)).astype(np.int64)
+                eighths = np.ceil(np.bincount(at, np.ceil(8 * weight), (hi - lo) * FINE)).reshape(hi - lo, FINE)
+                small = eighths.max(axis=1) < 1 << 15
+                fine = pa.array([x if ok else None for x, ok in zip(eighths.astype(np.int16), small, strict=True)], pa.list_(pa.int16()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sums.sum(axis=1)), pa.array(extra), fine, *(pa.array(c.astype(np.float32)) for c in sums.T)], names=["node", "size", "extra", "fine", *columns])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, size int, flat boolean, " + ", ".join(f"{c} int" for c in columns))
+    return texts.select("node", "text").mapInArrow(run, "node binary, size double, extra double, fine array<smallint>, " + ", ".join(f"{c} float" for c in columns))
 
 
 def _may_match(similarity: float):
     """Condition on two profiles (``a.``, ``b.``) that holds for every pair with a J_P of ``similarity`` or more.
 
-    Common shingles are at most the sum over the classes of the lesser count. Without repeats J_P is the Jaccard
-    similarity; with repeats it is at most the sum of the lesser shares, which the lesser counts over the greater
-    size bound.
+    With m, the common weight (sum of the lesser weights; at most the sum over the classes of the lesser sums), W the
+    sizes and R the extras: a common shingle adds at most its greater weight over Wa + Wb - m to J_P, and the greater
+    weights exceed the lesser ones by Ra + Rb at most, as no weight is below 1.
     """
-    common = reduce(add, (F.least(F.col(f"a.s{k}"), F.col(f"b.s{k}")) for k in range(SEGMENTS)))
-    both = F.col("a.size") + F.col("b.size")
-    share = reduce(add, (F.least(F.col(f"a.s{k}") / F.col("a.size"), F.col(f"b.s{k}") / F.col("b.size")) for k in range(SEGMENTS)))
-    slack = 1e-9
-    return F.when(F.col("a.flat") & F.col("b.flat"), common >= (both - common) * (similarity - slack)).otherwise(share >= similarity - slack)
+    common = reduce(add, (F.least(F.col(f"a.s{k}"), F.col(f"b.s{k}")).cast("double") for k in range(SEGMENTS)))
+    both, extra, slack = F.col("a.size") + F.col("b.size"), F.col("a.extra") + F.col("b.extra"), 1e-4
+    enough = lambda m: m + extra >= (both - m) * (similarity - slack)
+    eighths = F.aggregate(F.zip_with("a.fine", "b.fine", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return enough(common) & F.coalesce(enough(eighths / 8), F.lit(True))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 25, rows: int = 5, small: int = 500_000) -> DataFrame:

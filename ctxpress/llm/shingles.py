@@ -83,12 +83,16 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[
 
 
 def weighted(code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, shingle) in order with the number of times it occurs there: owner, code, weight."""
+    """Distinct (text, shingle) in order with its weight: owner, code, weight.
+
+    The weight is 1 + log2 of the number of times it occurs there, so a passage repeated a hundred times weighs more than
+    one that stands once, and yet does not outweigh all the rest of the text.
+    """
     order = np.lexsort((code, owner))
     code, owner = code[order], owner[order]
     new = np.concatenate([[True], (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])]) if len(code) else np.zeros(0, bool)
     at = np.flatnonzero(new)
-    return owner[at], code[at], np.diff(np.append(at, len(code))).astype(np.float64)
+    return owner[at], code[at], 1 + np.log2(np.diff(np.append(at, len(code))))
 
 
 def text_runs(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -106,7 +110,7 @@ def text_runs(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int,
 
 
 def weighted_set(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of one text, ascending, and their counts."""
+    """Distinct shingles of one text, ascending, and their weights."""
     raw = np.frombuffer(text.encode("utf-8"), np.uint8)
     code, owner = shingles(raw, np.array([0, len(raw)]))
     _, code, weight = weighted(code, owner)
