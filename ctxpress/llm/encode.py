@@ -15,6 +15,7 @@ import re
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _LAST_LATIN = "ʯ"
+_MARKS = frozenset(".,;:?")
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -41,39 +42,57 @@ class _Pieces(dict):
         super().__init__()
         self._model, self._limit, self._alphabet = tokenizer.model, limit, _byte_alphabet()
 
-    def __missing__(self, piece: str) -> bytes:
+    def encode(self, piece: str) -> bytes:
         mapped = piece.encode("utf-8").decode("latin-1").translate(self._alphabet)
-        found = b"".join([t.id.to_bytes(4, "little") for t in self._model.tokenize(mapped)])
+        return b"".join([t.id.to_bytes(4, "little") for t in self._model.tokenize(mapped)])
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.encode(piece)
         if len(self) < self._limit and len(piece) < 64:
             self[piece] = found
         return found
 
 
 class _Chunks(dict):
-    """chunk -> id bytes; ``prefix`` is put before a chunk when it is encoded."""
+    """chunk -> id bytes; ``prefix`` is put before a chunk when it is encoded, ``bare`` holds those without."""
 
-    def __init__(self, tokenizer, pieces: _Pieces, prefix: str, limit: int):
+    def __init__(self, tokenizer, pieces: _Pieces, prefix: str, limit: int, bare: _Chunks | None = None):
         import public_tokenizers
         import regex
 
         super().__init__()
         self._tokenizer, self._pieces, self._prefix, self._limit = tokenizer, pieces, prefix, limit
         self._cut = regex.compile(public_tokenizers.PATTERN).findall
-        self._special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.bare, self._line_end = self if not prefix else bare, pieces["\n"]
+        self._special = regex.compile("|".join(map(regex.escape, special)) or r"(?!)").search
+        self._plain = not any(t.isalpha() or t[:-1].isalpha() for t in special)  # then no word is one
 
     def __missing__(self, chunk: str) -> bytes:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise _Unsafe
         return self.add(chunk)
 
+    def _word(self, word: str) -> bool:
+        return word.isalpha() and (word.isascii() or max(word) <= _LAST_LATIN)
+
+    def _lines(self, chunk: str) -> bytes | None:
+        """A single line end between two other characters is a pre-token of its own, and what follows has no prefix."""
+        first, *rest = chunk.split("\n")
+        try:
+            return self[first] + b"".join([self._line_end + self.bare[x] for x in rest])
+        except _Unsafe:
+            return None
+
     def add(self, chunk: str) -> bytes:
-        if chunk and max(chunk) <= _LAST_LATIN and not any(s in chunk for s in self._special):
-            if chunk.isalpha():
-                found = self._pieces[self._prefix + chunk]
-            elif chunk[-1] in ".,;:?" and chunk[:-1].isalpha():
-                found = self._pieces[self._prefix + chunk[:-1]] + self._pieces[chunk[-1]]
-            else:
-                found = b"".join([self._pieces[p] for p in self._cut(self._prefix + chunk)])
+        if self._plain and self._word(chunk):
+            found = self._pieces.encode(self._prefix + chunk)
+        elif self._plain and chunk[-1:] in _MARKS and self._word(chunk[:-1]):
+            found = self[chunk[:-1]] + self._pieces[chunk[-1]]  # words with and without a mark share an entry
+        elif "\n" in chunk and (found := self._lines(chunk)) is not None:
+            return found  # not kept: it seldom comes again, and its parts are
+        elif chunk and max(chunk) <= _LAST_LATIN and not self._special(chunk):
+            found = b"".join([self._pieces[p] for p in self._cut(self._prefix + chunk)])
         else:
             ids = self._tokenizer.encode(self._prefix + chunk, add_special_tokens=False).ids
             found = b"".join([i.to_bytes(4, "little") for i in ids])
@@ -85,14 +104,14 @@ class _Chunks(dict):
 class Encoder:
     """``encode(text)`` gives the ids as bytes (uint32, little-endian), equal to the library's own on the whole text."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        pieces = _Pieces(tokenizer, cache)
-        self._first = _Chunks(tokenizer, pieces, "", 20_000)
-        self._next = _Chunks(tokenizer, pieces, " ", cache)
+        pieces = _Pieces(tokenizer, cache // 7)
+        self._first = _Chunks(tokenizer, pieces, "", cache // 7)
+        self._next = _Chunks(tokenizer, pieces, " ", cache, self._first)
 
     def encode(self, text: str) -> bytes:
         if not text:
