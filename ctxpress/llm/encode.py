@@ -104,7 +104,7 @@ class _Chunks(dict):
 class Encoder:
     """``encode(text)`` gives the ids as bytes (uint32, little-endian), equal to the library's own on the whole text."""
 
-    def __init__(self, path: str, cache: int = 700_000):
+    def __init__(self, path: str, cache: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
