@@ -128,7 +128,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFra
 
 def _profiles(texts: DataFrame) -> DataFrame:
     """node, size (weight of its shingles), extra (what repeats add to it), the weight in each hash class, and ``fine``:
-    eighths, rounded up, in each of ``FINE`` smaller classes (null for a text too heavy for that)."""
+    the weight in each of ``FINE`` smaller classes (null for a text too heavy for that)."""
     columns = [f"s{k}" for k in range(SEGMENTS)]
 
     def run(batches):
@@ -139,9 +139,9 @@ def _profiles(texts: DataFrame) -> DataFrame:
                 sums = np.bincount(at, weight, (hi - lo) * SEGMENTS).reshape(hi - lo, SEGMENTS)
                 extra = np.bincount(owner, weight - 1, hi - lo)
                 at = owner * FINE + (mix(code + _U(98)) >> _U(57)).astype(np.int64)
-                eighths = np.ceil(np.bincount(at, np.ceil(8 * weight), (hi - lo) * FINE)).reshape(hi - lo, FINE)
-                small = eighths.max(axis=1) < 1 << 15
-                fine = pa.array([x if ok else None for x, ok in zip(eighths.astype(np.int16), small, strict=True)], pa.list_(pa.int16()))
+                counts = np.bincount(at, weight, (hi - lo) * FINE).reshape(hi - lo, FINE)
+                small = counts.max(axis=1) < 1 << 15
+                fine = pa.array([x if ok else None for x, ok in zip(counts.astype(np.int16), small, strict=True)], pa.list_(pa.int16()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sums.sum(axis=1)), pa.array(extra), fine, *(pa.array(c.astype(np.float32)) for c in sums.T)], names=["node", "size", "extra", "fine", *columns])
 
     return texts.select("node", "text").mapInArrow(run, "node binary, size double, extra double, fine array<smallint>, " + ", ".join(f"{c} float" for c in columns))
@@ -152,13 +152,17 @@ def _may_match(similarity: float):
 
     With m, the common weight (sum of the lesser weights; at most the sum over the classes of the lesser sums), W the
     sizes and R the extras: a common shingle adds at most its greater weight over Wa + Wb - m to J_P, and the greater
-    weights exceed the lesser ones by Ra + Rb at most, as no weight is below 1.
+    weights exceed the lesser ones by Ra + Rb at most, as no weight is below 1. It also adds at most the lesser of its
+    shares of both texts, so J_P is at most the common weight of both texts scaled to the same size, repeats or not.
     """
-    common = reduce(add, (F.least(F.col(f"a.s{k}"), F.col(f"b.s{k}")).cast("double") for k in range(SEGMENTS)))
     both, extra, slack = F.col("a.size") + F.col("b.size"), F.col("a.extra") + F.col("b.extra"), 1e-4
+    scale = F.col("a.size") / F.col("b.size")
     enough = lambda m: m + extra >= (both - m) * (similarity - slack)
-    eighths = F.aggregate(F.zip_with("a.fine", "b.fine", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return enough(common) & F.coalesce(enough(eighths / 8), F.lit(True))
+    alike = lambda m: m >= F.col("a.size") * (similarity - slack)
+    coarse = lambda t: reduce(add, (F.least(F.col(f"a.s{k}").cast("double"), F.col(f"b.s{k}") * t) for k in range(SEGMENTS)))
+    fine = lambda t: F.aggregate(F.zip_with("a.fine", "b.fine", lambda x, y: F.least(x.cast("double"), y * t)), F.lit(0.0), add)
+    one = F.lit(1.0)
+    return alike(coarse(scale)) & enough(coarse(one)) & F.coalesce(alike(fine(scale)) & enough(fine(one)), F.lit(True))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 25, rows: int = 5, small: int = 500_000) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,3 +224,27 @@ def test_fold(spark):
 
     got = spark.range(20).select("id", fold(7, "id").alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 7 for r in got)
+
+
+def test_near_duplicates_weigh_repeats_by_count(spark):
+    def counts(text):
+        words = text.split()
+        return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+    def j_p(a, b):
+        return sum(1 / sum(max(a[y] / a[x], b[y] / b[x]) for y in a.keys() | b.keys()) for x in a.keys() & b.keys())
+
+    shared = " ".join([f"s{i}" for i in range(100)] * 8)
+    texts = [shared + " " + " ".join(f"{own}{i}" for i in range(n)) for own, n in (("a", 60), ("b", 60), ("c", 900))]
+    texts += [" ".join([f"s{i}" for i in range(100)] * 3) + " " + " ".join(f"d{i}" for i in range(20))]
+    sets = [counts(t) for t in texts]
+    links = {(i, k) for i in range(4) for k in range(i) if j_p(sets[i], sets[k]) >= 0.8}
+    assert (1, 0) in links and not any(2 in pair for pair in links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got[1] == got[0] == 0 and got[2] == 2
+    assert (got[3] == 0) == any(3 in pair for pair in links)
+
+    p = near_dedup._profiles(docs.select(F.col("doc_id").cast("string").cast("binary").alias("node"), "text"))
+    rows = p.alias("a").crossJoin(p.alias("b")).where(near_dedup._may_match(0.8)).select(F.col("a.node").cast("string"), F.col("b.node").cast("string")).collect()
+    assert links <= {(int(a), int(b)) for a, b in rows} and ("2", "0") not in {tuple(r) for r in rows}
