@@ -103,7 +103,7 @@ def compress_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compress_documents_with_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compress(_read(spark, sf_dir, "documents").select("doc_id", "text"), target_ratio=0.3, query="the and of which").select("doc_id", *_RESULT)
+    return compress(_read(spark, sf_dir, "documents").select("doc_id", "text"), target_ratio=0.3, query="tion thing ther que des nicht").select("doc_id", *_RESULT)
 
 
 def compress_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:

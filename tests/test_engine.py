@@ -151,3 +151,13 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and engine.QUERIES.keys() <= entry.queries().keys()
     assert entry.entry(spark).count() == 200
+
+
+def test_registered_query_changes_what_is_kept(spark, monkeypatch):
+    kept = lambda: {r["doc_id"]: r["compressed_text"] for r in engine.compress_documents_with_query(spark, SF).collect()}
+    asked = kept()
+    monkeypatch.setattr(engine, "compress", lambda df, **how: C.compress(df, weights=(("query", 0.0),), **how))
+    plain = kept()
+    differ = sum(asked[k] != plain[k] for k in asked)
+    print("texts that differ:", differ, "of", len(asked))
+    assert differ > len(asked) / 10
