@@ -16,6 +16,7 @@ DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _LAST_LATIN = "ʯ"
 _MARKS = frozenset(".,;:?")
+_DOOR = (1 << 21) - 1
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -40,11 +41,16 @@ class _Pieces(dict):
 
     def __init__(self, tokenizer, limit: int):
         super().__init__()
-        self._model, self._limit, self._alphabet = tokenizer.model, limit, _byte_alphabet()
+        self._limit, self._alphabet, self._tokenize = limit, _byte_alphabet(), tokenizer.model.tokenize
+        self._bytes = [i.to_bytes(4, "little") for i in range(max(tokenizer.get_vocab().values(), default=-1) + 1)]
+
+    def mapped(self, piece: str) -> bytes:
+        """Ids of a piece that is written in the byte alphabet."""
+        table = self._bytes
+        return b"".join([table[t.id] for t in self._tokenize(piece)])
 
     def encode(self, piece: str) -> bytes:
-        mapped = piece.encode("utf-8").decode("latin-1").translate(self._alphabet)
-        return b"".join([t.id.to_bytes(4, "little") for t in self._model.tokenize(mapped)])
+        return self.mapped(piece.encode("utf-8").decode("latin-1").translate(self._alphabet))
 
     def __missing__(self, piece: str) -> bytes:
         found = self.encode(piece)
@@ -67,14 +73,32 @@ class _Chunks(dict):
         self.bare, self._line_end = self if not prefix else bare, pieces["\n"]
         self._special = regex.compile("|".join(map(regex.escape, special)) or r"(?!)").search
         self._plain = not any(t.isalpha() or t[:-1].isalpha() for t in special)  # then no word is one
+        self._seen = bytearray(_DOOR + 1)
+        self._lead = prefix.translate(_byte_alphabet())  # ASCII letters stand for themselves in the byte alphabet
 
     def __missing__(self, chunk: str) -> bytes:
+        if self._plain:  # the usual cases, without a further call
+            if chunk.isalpha():
+                if chunk.isascii():
+                    return self._keep(chunk, self._pieces.mapped(self._lead + chunk))
+                if max(chunk) <= _LAST_LATIN:
+                    return self._keep(chunk, self._pieces.encode(self._prefix + chunk))
+            elif chunk[-1:] in _MARKS:
+                word = chunk[:-1]
+                if word.isalpha() and (word.isascii() or max(word) <= _LAST_LATIN):
+                    return self._keep(chunk, self[word] + self._pieces[chunk[-1]])
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise _Unsafe
         return self.add(chunk)
 
-    def _word(self, word: str) -> bool:
-        return word.isalpha() and (word.isascii() or max(word) <= _LAST_LATIN)
+    def _keep(self, chunk: str, found: bytes) -> bytes:
+        """A chunk is kept from the second time on, as far as a table of hashes tells: most chunks come once."""
+        at = hash(chunk) & _DOOR
+        if not self._seen[at]:
+            self._seen[at] = 1
+        elif len(self) < self._limit and len(chunk) < 64:
+            self[chunk] = found
+        return found
 
     def _lines(self, chunk: str) -> bytes | None:
         """A single line end between two other characters is a pre-token of its own, and what follows has no prefix."""
@@ -85,20 +109,15 @@ class _Chunks(dict):
             return None
 
     def add(self, chunk: str) -> bytes:
-        if self._plain and self._word(chunk):
-            found = self._pieces.encode(self._prefix + chunk)
-        elif self._plain and chunk[-1:] in _MARKS and self._word(chunk[:-1]):
-            found = self[chunk[:-1]] + self._pieces[chunk[-1]]  # words with and without a mark share an entry
-        elif "\n" in chunk and (found := self._lines(chunk)) is not None:
+        """The ids of any chunk; what begins or ends with a blank is not kept, as ``__missing__`` must refuse it."""
+        if "\n" in chunk and (found := self._lines(chunk)) is not None:
             return found  # not kept: it seldom comes again, and its parts are
-        elif chunk and max(chunk) <= _LAST_LATIN and not self._special(chunk):
+        if chunk and max(chunk) <= _LAST_LATIN and not self._special(chunk):
             found = b"".join([self._pieces[p] for p in self._cut(self._prefix + chunk)])
         else:
             ids = self._tokenizer.encode(self._prefix + chunk, add_special_tokens=False).ids
             found = b"".join([i.to_bytes(4, "little") for i in ids])
-        if len(self) < self._limit and 0 < len(chunk) < 64 and not (chunk[0].isspace() or chunk[-1].isspace()):
-            self[chunk] = found
-        return found
+        return found if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self._keep(chunk, found)
 
 
 class Encoder:
