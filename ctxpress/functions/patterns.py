@@ -28,10 +28,12 @@ INSTRUCTION = (
     r"^(?:System|Instructions?|Rules?|Guidelines?|Constraints?)\s*:", r"\buse the (?:tool|function|API)\b", r"\bcall the\b", r"\binvoke\b",
     r"\bat most\b", r"\bno more than\b", r"\bwithin\b", r"\blimit(?:ed)? to\b", r"\bmaximum\b", r"\bminimum\b", r"\?\s*$",
 )
+# Obligation, steps, labels, roles.
 CRITICAL = (
     r"\bmust\b", r"\bnever\b", r"\balways\b", r"\brequired?\b", r"\bensure\b", r"\bdo not\b", r"\bdon't\b", r"\bcritical\b",
     r"^\s*(\d+[.)]|[-*+])\s", r"^(?:WARNING|CAUTION|IMPORTANT)\s*:", r"\byou are\b",
 )
+# The tiers of priority, from the highest.
 SAFETY = (r"^(?:WARNING|CAUTION|IMPORTANT|ATTENTION)\s*:", r"^(?:System|Rules|Guidelines|Guardrails)\s*:", r"\bnever assist with\b", r"\billegal\b", r"\bharmful\b")
 HIGH = (
     r"\byou are\b", r"\bact as\b", r"\byour role\b", r"\bnever\b", r"\bdo not\b", r"\bdon't\b", r"\bmust\b", r"\balways\b", r"\bensure\b",
@@ -41,7 +43,7 @@ MEDIUM = (
     r"\brespond in\b", r"\bformat (?:as|your|the|in)\b", r"\bJSON\b", r"\bYAML\b", r"\bmarkdown\b", r"\buse the (?:tool|function|API)\b",
     r"^\s*(\d+[.)]|[-*+])\s",
 )
-#: (flags, pattern) of each entity kind: names, words, acronyms, hyphens, versions, numbers, mail, URLs, snake and camel
+# Fixed values: (flags, pattern) of each entity kind: names, words, acronyms, hyphens, versions, numbers, mail, URLs, snake and camel
 #: case, files, environment variables, code spans, API paths.
 ENTITY = (
     (PLAIN, r"\b[A-Z][a-zA-Z]+(?:\s[A-Z][a-zA-Z]+)+\b"),
@@ -61,8 +63,20 @@ ENTITY = (
 )
 
 
+#: Without any of these characters only the kinds in ``LETTERS`` can match.
+SPECIAL = r"[-0-9@_/`.]"
+LETTERS = (0, 1, 2, 9, 11)
+
+
 def any_of(patterns: tuple[str, ...], flags: str = FOLDED) -> str:
-    return flags + "|".join(f"(?:{p})" for p in patterns)
+    """One expression for all patterns. Those between two word boundaries share them, so that most places fail at once."""
+    inner = [p[2:-2] for p in patterns if _bounded(p)]
+    rest = [f"(?:{p})" for p in patterns if p[2:-2] not in inner]
+    return flags + "|".join([rf"\b(?:{'|'.join(inner)})\b"] * bool(inner) + rest)
+
+
+def _bounded(p: str) -> bool:
+    return p.startswith(r"\b") and p.endswith(r"\b")
 
 
 def found(text: Column, pattern: str) -> Column:

@@ -36,7 +36,7 @@ def paragraphs(text: Column) -> Column:
 
 def _glue(pieces: Column) -> Column:
     """A piece after one that ends in an abbreviation is joined to it by a blank."""
-    last_word = lambda s: F.lower(F.element_at(words(s), -1))
+    last_word = lambda s: F.lower(F.regexp_extract(s, r"(?U)([^\s\x1c-\x1f]+)[\s\x1c-\x1f]*\z", 1))
 
     def step(done: Column, s: Column) -> Column:
         n = F.size(done)
@@ -44,7 +44,8 @@ def _glue(pieces: Column) -> Column:
         joined = F.concat(F.slice(done, F.lit(1), n - 1), F.array(F.concat(last, F.lit(" "), s)))
         return F.when((n > 0) & last_word(last).isin(*P.ABBREVIATIONS), joined).otherwise(F.array_append(done, s))
 
-    return F.aggregate(pieces, F.array().cast("array<string>"), step)
+    short = F.exists(pieces, lambda s: s.endswith(".") & last_word(s).isin(*P.ABBREVIATIONS))  # seldom, and else nothing is copied
+    return F.when(short, F.aggregate(pieces, F.array().cast("array<string>"), step)).otherwise(pieces)
 
 
 def sentences(paragraph: Column) -> Column:
@@ -57,7 +58,7 @@ def sentences(paragraph: Column) -> Column:
         held = F.array_join(F.transform(between, lambda s, k: F.concat(s, F.when(k < F.size(blocks), mark(k)).otherwise(F.lit("")))), "")
         lines = F.filter(F.transform(F.split(held, "\n"), strip), lambda x: x != "")
         pieces = F.flatten(F.transform(lines, lambda x: F.when(x.rlike(P.PLAIN + P.STRUCTURAL_LINE), F.array(x)).otherwise(F.split(x, P.PLAIN + P.SENTENCE_GAP))))
-        glued = _glue(F.filter(F.transform(pieces, strip), lambda x: x != ""))
+        glued = let(F.filter(F.transform(pieces, strip), lambda x: x != ""), _glue)
         back = lambda s: F.aggregate(F.sequence(F.lit(0), F.size(blocks) - 1), s, lambda acc, k: F.replace(acc, mark(k), F.get(blocks, k)))
         whole = F.when(F.size(blocks) > 0, F.transform(glued, back)).otherwise(glued)
         return F.filter(F.transform(whole, strip), lambda x: x != "")

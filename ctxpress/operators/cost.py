@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # USD for 1000 tokens (input, output).
@@ -45,3 +45,12 @@ def with_savings(df: DataFrame, original: str = "original_tokens", compressed: s
         .withColumn("monthly_savings", F.bround(daily * 30, 2))
         .withColumn("annual_savings", F.bround(daily * 365, 2))
     )
+
+
+def list_supported_models() -> list[str]:
+    return sorted(PRICES)
+
+
+def savings_summary() -> Column:
+    """A line of text for each row of :func:`with_savings`."""
+    return F.format_string("%s: %d tokens saved (%.1f%%), $%.2f a day, $%.2f a month, $%.2f a year", "model", F.col("tokens_saved").cast("long"), "reduction_percent", "daily_savings", "monthly_savings", "annual_savings")

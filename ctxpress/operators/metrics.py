@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxpress.functions.text import let, words
@@ -33,3 +34,108 @@ def rouge1(original: Column, shortened: Column) -> Column:
 def overlap(original: Column, shortened: Column) -> Column:
     """Share of the original's words that are left; 0 without any."""
     return _of_sets(original, shortened, lambda x, y: F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(x)), F.lit(0.0)))
+
+
+def tokens(text: Column) -> Column:
+    """Runs of letters, digits and underscores in lower case, in order."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
+
+
+def ngrams(words_: Column, n: int) -> Column:
+    """All runs of ``n`` items, as strings."""
+    last = F.size(words_) - n
+    return F.when(last < 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(words_, i + 1, n), " ")))
+
+
+def bleu4(original: Column, shortened: Column) -> Column:
+    """Clipped precision of one to four words with a brevity penalty; 0 where one text has no words or the second fewer than four.
+
+    By an Arrow UDF, as counting n-grams of two long texts is linear there and quadratic in array functions.
+    """
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_bleu4(list(x), list(y)) for x, y in zip(a, b, strict=True)])
+
+    return run(tokens(original), tokens(shortened))
+
+
+def _bleu4(ref: list[str], cand: list[str]) -> float:
+    import math
+    from collections import Counter
+
+    if not ref or len(cand) < 4:
+        return 0.0
+    total = 0.0
+    for n in range(1, 5):
+        grams = lambda w, n=n: Counter(zip(*(w[k:] for k in range(n)), strict=False))
+        have, want = grams(cand), grams(ref)
+        hits = sum(min(k, want[g]) for g, k in have.items())
+        total += math.log((hits + 0.1) / (len(cand) - n + 1 + 0.1))
+    penalty = 1.0 if len(cand) > len(ref) else math.exp(1 - len(ref) / len(cand))
+    return round(penalty * math.exp(total / 4), 4)
+
+
+def rouge_l(original: Column, shortened: Column) -> Column:
+    """F1 of the longest common subsequence of words, by an Arrow UDF with bit vectors (a word of the machine holds many cells)."""
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_rouge_l(list(x), list(y)) for x, y in zip(a, b, strict=True)])
+
+    return run(tokens(original), tokens(shortened))
+
+
+def lcs_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: a row of the table is the bits of one integer."""
+    where: dict[str, int] = {}
+    for k, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    row = full
+    for w in b:
+        hit = row & where.get(w, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+def _rouge_l(ref: list[str], cand: list[str]) -> float:
+    if not ref or not cand:
+        return 0.0
+    k = lcs_length(ref, cand)
+    return round(2 * k / (len(ref) + len(cand)), 4)
+
+
+def quality(df: DataFrame, original: str = "text", shortened: str = "compressed_text") -> DataFrame:
+    """``df`` with ``quality``: struct of bleu4, rouge1, rouge_l, jaccard, entity_retention, instruction_retention, reduction_percent."""
+    from ctxpress.functions.text import token_count
+    from ctxpress.operators.validation import entities, instructions
+
+    a, b = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (original, shortened))
+    share = lambda x, y: F.when(F.size(x) == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(x))
+    n, m = token_count(a), token_count(b)
+    return df.withColumn("quality", F.struct(
+        bleu4(a, b).alias("bleu4"), rouge1(a, b).alias("rouge1"), rouge_l(a, b).alias("rouge_l"), jaccard(a, b).alias("jaccard"),
+        share(entities(a), entities(b)).alias("entity_retention"), share(instructions(a), instructions(b)).alias("instruction_retention"),
+        F.when(n > 0, F.bround((1 - m / n) * 100, 1)).otherwise(0.0).alias("reduction_percent"),
+    ))
+
+
+def averages(df: DataFrame, *by: str) -> DataFrame:
+    """Mean of every figure of ``quality`` by the given columns, with the number of rows."""
+    figures = df.schema["quality"].dataType.names
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"quality.{c}").alias(c) for c in figures))
+
+
+def totals(df: DataFrame, *by: str, original: str = "original_tokens", compressed: str = "compressed_tokens") -> DataFrame:
+    """Tokens before and after, saved tokens and percent, by the given columns and above them (rollup; null: all)."""
+    sums = df.rollup(*by).agg(F.sum(original).alias("original_tokens"), F.sum(compressed).alias("compressed_tokens"))
+    saved = F.col("original_tokens") - F.col("compressed_tokens")
+    return sums.withColumn("tokens_saved", saved).withColumn("saved_percent", F.when(F.col("original_tokens") > 0, F.bround(saved / F.col("original_tokens") * 100, 1)).otherwise(0.0))
+
+
+def against_baselines(measured: DataFrame, baselines: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """metric, baseline, actual, change_percent, status: ``measured`` (metric, actual) joined with ``baselines`` (metric,
+    baseline, higher_is_better); PASS at or beyond the baseline, WARN within ``tolerance`` of it, else FAIL. Both are small."""
+    change = F.when(F.col("baseline") != 0, (F.col("actual") - F.col("baseline")) / F.abs("baseline")).otherwise(0.0)
+    gain = F.when(F.col("higher_is_better"), change).otherwise(-change)
+    status = F.when(gain >= 0, "PASS").when(gain >= -tolerance, "WARN").otherwise("FAIL")
+    return measured.join(baselines, "metric").select("metric", "baseline", "actual", F.bround(change * 100, 1).alias("change_percent"), status.alias("status"))
