@@ -161,3 +161,14 @@ def test_files(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).first()[0] == "short text"
     assert "| compressed_text |" in files.markdown_report(done.select("compressed_text"), "R")
     assert list_supported_models() == sorted(list_supported_models())
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from ctxpress.__main__ import main
+
+    (tmp_path / "a.txt").write_text("A short text.")
+    assert main([str(tmp_path / "a.txt"), "--stats", "--cost", "gpt-5"], spark) == 0
+    said = capsys.readouterr()
+    assert said.out == "A short text.\n" and "tokens" in said.err and "gpt-5" in said.err
+    assert main([str(tmp_path / "a.txt"), "--analyze"], spark) == 0
+    assert '"content_type":"general_text"' in capsys.readouterr().out
