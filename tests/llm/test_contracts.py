@@ -151,7 +151,7 @@ def shingle_counts(text: str) -> Counter:
 
 
 def j_p(a: Counter, b: Counter) -> float:
-    a, b = ({x: 1 + np.log2(n) for x, n in c.items()} for c in (a, b))
+    a, b = ({x: n for x, n in c.items()} for c in (a, b))
     total = 0.0
     for x in a.keys() & b.keys():
         total += 1 / sum(max(a.get(y, 0) / a[x], b.get(y, 0) / b[x]) for y in a.keys() | b.keys())
