@@ -7,29 +7,25 @@ Jaccard similarity J_P, which is the plain Jaccard similarity where all weights
 
 Copies with equal text are one node from the start. Nodes that agree in a band of registers share a bucket. Of a
 bucket every member is first held against one centre only; components are built from the pairs that the exact J_P
-confirms. Where a bucket still spans several components, all members outside the largest one become centres in
-growing rounds until every pair of different components in it is settled: a pair is verified unless an upper bound of
-its J_P, taken from both texts' shingle counts in ``SEGMENTS`` hash classes, is below the threshold already. So a
-bucket of n near copies costs about n pairs instead of n**2 / 2, no candidate is dropped, and there is no cap.
+confirms. Where a bucket still spans several components, members outside the largest one become centres in growing
+rounds until every pair of different components in it is settled. Blocks of centres meet blocks of members where both
+texts lie: each text is cut into shingles once a block, a centre is held against all its members by array sums, exact
+bounds settle most pairs and J_P the rest, and what a task has linked it does not test again. No candidate is dropped,
+and there is no cap.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxpress.llm.common import materialize, read, work_dir
+from ctxpress.llm.common import materialize, partitions, read, work_dir
 from ctxpress.llm.components import connected
 from ctxpress.llm.shingles import mix, shingles, text_runs, weighted, weighted_set
 
 REGISTERS = 127  # a prime: start + i * stride runs through all registers
-SEGMENTS = 64
-FINE = 128
 _U = np.uint64
 
 
@@ -126,57 +122,134 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def _profiles(texts: DataFrame) -> DataFrame:
-    """node, size (weight of its shingles), extra (what repeats add to it), the weight in each hash class, and ``fine``:
-    the weight in each of ``FINE`` smaller classes (null for a text too heavy for that)."""
-    columns = [f"s{k}" for k in range(SEGMENTS)]
-
-    def run(batches):
-        for batch in batches:
-            for lo, hi, raw, offsets in text_runs(batch.column(1)):
-                owner, code, weight = weighted(*shingles(raw, offsets))
-                at = owner * SEGMENTS + (mix(code + _U(99)) >> _U(58)).astype(np.int64)
-                sums = np.bincount(at, weight, (hi - lo) * SEGMENTS).reshape(hi - lo, SEGMENTS)
-                extra = np.bincount(owner, weight - 1, hi - lo)
-                at = owner * FINE + (mix(code + _U(98)) >> _U(57)).astype(np.int64)
-                counts = np.bincount(at, weight, (hi - lo) * FINE).reshape(hi - lo, FINE)
-                small = counts.max(axis=1) < 1 << 15
-                fine = pa.array([x if ok else None for x, ok in zip(counts.astype(np.int16), small, strict=True)], pa.list_(pa.int16()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sums.sum(axis=1)), pa.array(extra), fine, *(pa.array(c.astype(np.float32)) for c in sums.T)], names=["node", "size", "extra", "fine", *columns])
-
-    return texts.select("node", "text").mapInArrow(run, "node binary, size double, extra double, fine array<smallint>, " + ", ".join(f"{c} float" for c in columns))
-
-
-def _may_match(similarity: float):
-    """Condition on two profiles (``a.``, ``b.``) that holds for every pair with a J_P of ``similarity`` or more.
+def linked(codes: np.ndarray, weights: np.ndarray, ends: np.ndarray, labels: np.ndarray, centres: list[int], allowed, similarity: float) -> list[tuple[int, int]]:
+    """Links (centre, member) that join all sets of a group whose J_P says so, without testing pairs that are joined already.
 
-    With m, the common weight (sum of the lesser weights; at most the sum over the classes of the lesser sums), W the
-    sizes and R the extras: a common shingle adds at most its greater weight over Wa + Wb - m to J_P, and the greater
-    weights exceed the lesser ones by Ra + Rb at most, as no weight is below 1. It also adds at most the lesser of its
-    shares of both texts, so J_P is at most the common weight of both texts scaled to the same size, repeats or not.
+    Set i has the ``codes`` and ``weights`` from ``ends[i - 1]`` to ``ends[i]`` and none is empty; ``labels`` are the
+    components so far (changed in place); ``allowed(c)`` gives the sets that centre c is to be held against. A pair is
+    settled by exact bounds first. With p and q, both sets scaled to weight 1, J_P is at most the sum of min(p, q). With
+    m, the sum of the lesser weights, W the sizes and R what weights above 1 add to them, J_P is at most
+    (m + Ra + Rb) / (Wa + Wb - m), as a common element adds at most its greater weight over Wa + Wb - m.
     """
-    both, extra, slack = F.col("a.size") + F.col("b.size"), F.col("a.extra") + F.col("b.extra"), 1e-4
-    scale = F.col("a.size") / F.col("b.size")
-    enough = lambda m: m + extra >= (both - m) * (similarity - slack)
-    alike = lambda m: m >= F.col("a.size") * (similarity - slack)
-    coarse = lambda t: reduce(add, (F.least(F.col(f"a.s{k}").cast("double"), F.col(f"b.s{k}") * t) for k in range(SEGMENTS)))
-    fine = lambda t: F.aggregate(F.zip_with("a.fine", "b.fine", lambda x, y: F.least(x.cast("double"), y * t)), F.lit(0.0), add)
-    one = F.lit(1.0)
-    return alike(coarse(scale)) & enough(coarse(one)) & F.coalesce(alike(fine(scale)) & enough(fine(one)), F.lit(True))
-
+    starts = np.concatenate([[0], ends[:-1]])
+    length, size = ends - starts, np.add.reduceat(weights, starts)
+    extra = size - length
+    share = weights / np.repeat(size, length)
+    names, ids = np.unique(codes, return_inverse=True)
+    mine, found = np.zeros(len(names)), []
+    for c in centres:
+        own = slice(starts[c], ends[c])
+        rest = allowed(c)
+        rest = rest[labels[rest] != labels[c]]
+        if not len(rest):
+            continue
+        mine[ids[own]] = weights[own]
+        cut = np.concatenate([[0], np.cumsum(length[rest])])
+        at = np.arange(cut[-1]) + np.repeat(starts[rest] - cut[:-1], length[rest])
+        x = mine[ids[at]]
+        common = np.add.reduceat(np.minimum(x, weights[at]), cut[:-1])
+        alike = np.add.reduceat(np.minimum(x / size[c], share[at]), cut[:-1])
+        slack = similarity - 1e-9
+        may = (alike >= slack) & (common + extra[c] + extra[rest] >= slack * (size[c] + size[rest] - common))
+        for i in np.flatnonzero(may):
+            b = rest[i]
+            if labels[b] == labels[c]:
+                continue
+            y, z = x[cut[i] : cut[i + 1]], weights[starts[b] : ends[b]]
+            both = y > 0
+            ratio, of = np.unique(y[both] / z[both], return_inverse=True)
+            outside = size[c] - y.sum()
+            total = np.array([np.maximum(y, t * z).sum() for t in ratio]) + outside
+            if (y[both] / total[of]).sum() >= similarity:
+                found.append((c, b))
+                labels[labels == labels[b]] = labels[c]
+        mine[ids[own]] = 0
+    return found
+
+
+def _settle(hard: DataFrame, texts: DataFrame, similarity: float, bytes_a_block: int) -> DataFrame:
+    """Links (a, b) between the centres and the members of each bucket that lie in different components.
+
+    ``hard``: bucket, node, component, size (bytes of the text), turn (whether it is a centre now), buckets. A bucket's
+    centres and members are dealt into blocks of about ``bytes_a_block`` bytes of text each; one pair of blocks is what
+    a task holds at once. A pair of nodes is tested only in the first bucket that they share.
+    """
+    blocks = lambda c: F.ceil(F.coalesce(F.sum(c), F.lit(0)) / bytes_a_block)
+    plan = hard.groupBy("bucket").agg(blocks(F.when(F.col("turn"), F.col("size"))).alias("across"), blocks("size").alias("down")).where("across > 0")
+    dealt = hard.join(plan, "bucket")
+    number = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+    across, down = F.col("across"), F.col("down")
+    centres = dealt.where("turn").select("bucket", number(across).alias("i"), every(down).alias("j"), F.lit(0).alias("role"), "node", "component", "turn", "buckets")
+    members = dealt.select("bucket", every(across).alias("i"), number(down).alias("j"), F.lit(1).alias("role"), "node", "component", "turn", "buckets")
+    rows = centres.unionByName(members).join(texts, "node").select("bucket", "i", "j", "role", "node", "component", "turn", "buckets", "text")
+    rows = rows.repartition(4 * partitions(hard.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "role")
+
+    def group(part: pa.Table):
+        part = part.combine_chunks()
+        role, turn = part["role"].to_numpy(), part["turn"].to_numpy()
+        n, n_centres = len(role), int((role == 0).sum())
+        if n_centres in (0, n):
+            return None
+        bucket, node = part["bucket"][0].as_py(), part["node"].to_pylist()
+        codes, weights, counts = [], [], np.zeros(n, np.int64)
+        for lo, hi, raw, offsets in text_runs(part["text"].combine_chunks()):
+            owner, code, weight = weighted(*shingles(raw, offsets))
+            counts[lo:hi] = np.bincount(owner, minlength=hi - lo)
+            codes.append(code)
+            weights.append(weight)
+        shared = np.array(part["buckets"].to_pylist(), np.int64)
+        seen: dict[bytes, int] = {}
+        labels = np.array([seen.setdefault(x, len(seen)) for x in part["component"].to_pylist()])
+        members = np.arange(n_centres, n)
+        order = {x: k for k, x in enumerate(sorted(set(node)))}
+        rank = np.array([order[x] for x in node])
+        later = np.where(turn, rank, n)[members]
+
+        def allowed(c: int) -> np.ndarray:
+            same = shared[members] == shared[c]
+            first = shared[c][same.argmax(axis=1)] == bucket
+            # two centres meet twice, once in each role
+            return members[first & (later > rank[c])]
+
+        found = linked(np.concatenate(codes), np.concatenate(weights), np.cumsum(counts), labels, range(n_centres), allowed, similarity)
+        return pa.RecordBatch.from_arrays([pa.array([node[k] for k in side], pa.binary()) for side in (zip(*found) if found else ((), ()))], names=["a", "b"])
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 25, rows: int = 5, small: int = 500_000) -> DataFrame:
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            edge = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for lo, hi in zip([0, *edge], [*edge, batch.num_rows]):
+                if hi == lo:
+                    continue
+                now = tuple(keys[:, lo])
+                if held and now != key:
+                    if (out := group(pa.Table.from_batches(held))) is not None:
+                        yield out
+                    held = []
+                key = now
+                held.append(batch.slice(lo, hi - lo))
+        if held and (out := group(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    return rows.mapInArrow(run, "a binary, b binary")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 25, rows: int = 5, small: int = 500_000, bytes_a_block: int = 1 << 22) -> DataFrame:
     """doc_id, node, class_id for every row of ``docs``: class_id is the least doc_id of the row's group.
 
     A null text is empty. Equal texts are always one group, empty ones too; texts of fewer than five words match by
     all their words. Groups are the connected components of the confirmed pairs. ``small``: up to so many nodes, the
-    list of those that need their text is broadcast (24 bytes a node); beyond, it is a shuffle join.
+    list of those that need their text is broadcast (24 bytes a node); beyond, it is a shuffle join. ``bytes_a_block``:
+    about so many bytes of text of a bucket meet as many in one step of a task; results do not depend on it.
     """
     spark = docs.sparkSession
     at = work_dir(spark)
     rows_ = materialize(sketch(docs, bands, rows), "sketch", at)
-    nodes = rows_.groupBy("node").agg(F.first("buckets").alias("buckets"))
-    dealt = nodes.select("node", F.explode("buckets").alias("bucket"))
+    signed = rows_.groupBy("node").agg(F.first("buckets").alias("buckets"))
+    dealt = signed.select("node", F.explode("buckets").alias("bucket"))
     centre = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n")
     members = materialize(dealt.join(centre, "bucket"), "members", at)
     needed = materialize(members.select("node").distinct(), "needed", at)
@@ -184,37 +257,32 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 25, r
     needed = F.broadcast(needed) if needed.count() <= small else needed
     texts = docs.select(F.unhex(F.md5(text)).alias("node"), text.alias("text")).join(needed, "node", "left_semi").dropDuplicates(["node"])
     texts = materialize(texts, "texts", at)
+    nodes = signed.join(texts.select("node", F.octet_length("text").cast("long").alias("size")), "node")
+    nodes = materialize(nodes, "nodes", at)
     members_ = members.select("bucket", "node")
 
     pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = materialize(_confirmed(pairs, texts, similarity), "links0", at)
     groups = materialize(connected(links, f"{at}/round0"), "groups0", at)
     done: DataFrame | None = None
-    profiles: DataFrame | None = None
     for k in range(1, 40):
-        most = 2 * 16 ** (k - 1)
+        most = 256 * 16 ** (k - 1)
         labelled = members_.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         labelled = materialize(labelled, f"labelled{k}", at)
         sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
         spans = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1")
-        hard = materialize(labelled.join(spans.select("bucket", "largest", "n"), "bucket"), f"hard{k}", at)
-        # of each bucket that spans several components, the members outside the largest
-        outside = hard.where("component <> largest").select("bucket", "node", "n")
-        if done is not None:
-            outside = outside.join(done, ["bucket", "node"], "left_anti")
-        outside = materialize(outside, f"outside{k}", at)
-        if outside.isEmpty():
+        hard = labelled.join(spans.select("bucket", "largest", "n"), "bucket")
+        if done is not None:  # what was a centre before is settled against all of its bucket
+            hard = hard.join(done, ["bucket", "node"], "left_anti")
+        # of each bucket that spans several components, members outside the largest become centres: all of a bucket of up to ``most``
+        turn = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 20)) * F.col("n") < F.lit(most << 20)
+        outside = F.col("component") != F.col("largest")
+        hard = materialize(hard.select("bucket", "node", "component", outside.alias("outside"), (outside & turn).alias("turn")), f"hard{k}", at)
+        if hard.where("outside").isEmpty():
             break
-        if profiles is None:
-            profiles = materialize(_profiles(texts.join(hard.select("node").distinct(), "node", "left_semi")), "profiles", at)
-        turn = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 20)) * F.col("n") < F.lit(most << 20)  # all of a bucket of up to ``most``
-        centres = materialize(outside.where(turn).select("bucket", "node"), f"centres{k}", at)
-        full = materialize(hard.select("bucket", "node", "component").join(profiles, "node"), f"full{k}", at)
-        one = full.join(centres, ["bucket", "node"], "left_semi")
-        pairs = one.alias("a").join(full.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component")) & _may_match(similarity))
-        pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
-        links = materialize(_confirmed(pairs, texts, similarity), f"links{k}", at)
-        done = centres if done is None else materialize(done.unionByName(centres), f"done{k}", at)
+        centres = hard.where("turn").select("bucket", "node")
+        links = materialize(_settle(hard.join(nodes, "node"), texts, similarity, bytes_a_block), f"links{k}", at)
+        done = centres if done is None else done.unionByName(centres)
         if not links.isEmpty():
             edges = links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
             groups = materialize(connected(edges, f"{at}/round{k}"), f"groups{k}", at)

@@ -245,6 +245,43 @@ def test_near_duplicates_weigh_repeats_by_count(spark):
     assert got[1] == got[0] == 0 and got[2] == 2
     assert (got[3] == 0) == any(3 in pair for pair in links)
 
-    p = near_dedup._profiles(docs.select(F.col("doc_id").cast("string").cast("binary").alias("node"), "text"))
-    rows = p.alias("a").crossJoin(p.alias("b")).where(near_dedup._may_match(0.8)).select(F.col("a.node").cast("string"), F.col("b.node").cast("string")).collect()
-    assert links <= {(int(a), int(b)) for a, b in rows} and ("2", "0") not in {tuple(r) for r in rows}
+
+def test_linked_against_every_pair():
+    """Bounds and early merging change no component: sets of very different sizes, repeats, scaled copies, 1 to 9 shared labels."""
+    import numpy as np
+
+    from tests.llm.test_contracts import classes
+
+    rng = np.random.default_rng(5)
+    for trial in range(6):
+        base = [rng.choice(400, 40, replace=False) for _ in range(4)]
+        sets = []
+        for k in range(60):
+            codes = base[k % 4].copy()
+            codes[: rng.integers(0, 7)] = rng.choice(np.arange(400, 900), 1)
+            codes = np.unique(codes)
+            weights = np.ones(len(codes)) if trial % 2 else rng.integers(1, 4, len(codes)).astype(float) ** (k % 3)
+            sets.append((codes.astype(np.uint64), weights * (1 + k % 5)))
+        ends = np.cumsum([len(c) for c, _ in sets])
+        labels = np.arange(60)
+        start = labels.copy()
+        found = near_dedup.linked(np.concatenate([c for c, _ in sets]), np.concatenate([w for _, w in sets]), ends, labels, list(range(60)), lambda c: np.arange(60), 0.8)
+        every = [(a, b) for a in range(60) for b in range(a) if near_dedup.probability_jaccard(sets[a], sets[b]) >= 0.8]
+        want = classes(range(60), every)
+        assert classes(range(60), [(int(a), int(b)) for a, b in found]) == want and set(found) <= set(every) | {(b, a) for a, b in every}
+        assert len({*labels.tolist()}) == len({*want.values()}) < 60 and (start == np.arange(60)).all()
+
+
+def test_blocks_of_a_bucket_change_nothing(spark):
+    """Blocks of a few bytes and of megabytes give the same groups."""
+    texts = []
+    for k in range(40):
+        words = [f"w{i}" for i in range(60)]
+        for j in range(k % 5):
+            words[(k * 7 + j) % 60] = f"x{k}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    for size in (100, 1 << 22):
+        seen.append({r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs, bytes_a_block=size).collect()})
+    assert seen[0] == seen[1] and 1 < len(set(seen[0].values())) < 40
