@@ -7,15 +7,18 @@ functions, and the text is one concatenation:
 
 ``<|next|>`` keeps merged turns apart. Every control string inside a role or text is escaped (``~`` and a letter; a
 ``~`` itself is ``~0``), so the turns can be read back exactly. The loss mask is a list of runs (length in code
-points, loss) over the formatted text; loss covers each assistant text and no marker.
+points, loss) over the formatted text; loss covers each assistant text and no marker. Formatting is expressions only;
+reading the masked text back is one Arrow function, as cutting a string at many code points is linear there only.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ctxpress.llm.common import let, read
+from ctxpress.llm.common import let, materialize, read
 
 TURN, TEXT, NEXT, END = "<|turn|>", "<|text|>", "<|next|>", "<|end|>"
 #: Control strings of this and of other common templates; every marker begins with the first.
@@ -79,8 +82,33 @@ def format_conversations(conversations: DataFrame, loss_role: str = "assistant")
     return grouped.select("conv_id", let(F.col("turns"), lambda turns: let(pieces(turns), whole)).alias("x")).select("conv_id", "x.formatted", "x.loss_mask")
 
 
-def parse_conversations(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """Reads turns (array<struct<role, text>>) and loss_texts (unescaped) back from the formatted texts alone."""
+def masked_text(formatted: DataFrame) -> DataFrame:
+    """``formatted`` with ``loss_text``: what its loss mask covers, cut out by the mask's runs alone and unescaped."""
+
+    def plain(text: str) -> str:
+        for whole, coded in reversed(_ESCAPES):
+            text = text.replace(coded, whole)
+        return text
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for text, mask in zip(batch.column("formatted").to_pylist(), batch.column("loss_mask").to_pylist(), strict=True):
+                at, parts = 0, []
+                for piece in mask:
+                    if piece["loss"]:
+                        parts.append(plain(text[at : at + piece["n"]]))
+                    at += piece["n"]
+                if at != len(text):
+                    raise ValueError("a loss mask does not span its text")
+                found.append("".join(parts))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "loss_text"])
+
+    return formatted.mapInArrow(run, StructType([*formatted.schema.fields, StructField("loss_text", StringType())]))
+
+
+def parse_conversations(formatted: DataFrame) -> DataFrame:
+    """``formatted`` with ``turns`` (array<struct<role, text>>, unescaped), read back from the formatted texts alone."""
     cut = lambda c, marker: F.split(c, marker.replace("|", r"\|"))
 
     def block(b: Column) -> Column:
@@ -91,8 +119,7 @@ def parse_conversations(formatted: DataFrame, loss_role: str = "assistant") -> D
         return let(cut(b, TEXT), both)
 
     blocks = F.filter(cut(F.col("formatted"), END), lambda b: b != "")
-    turns = formatted.select("conv_id", "formatted", F.flatten(F.transform(blocks, block)).alias("turns"))
-    return turns.withColumn("loss_texts", F.transform(F.filter("turns", lambda t: t["role"] == loss_role), lambda t: t["text"]))
+    return formatted.withColumn("turns", F.flatten(F.transform(blocks, block)))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,14 +127,13 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.sql(f"select * from values (-7L, 0L, 'user', '{planted}'), (-7L, 1L, 'assistant', '{planted}') as t(conv_id, turn, role, text)")
     columns = ("conv_id", "turn", "role", "text")
     formatted = format_conversations(read(spark, sf_dir, "conversations").select(*columns).unionByName(more))
-    back = parse_conversations(formatted)
+    back = parse_conversations(masked_text(materialize(formatted, "formatted")))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join("loss_texts", "")
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
