@@ -113,8 +113,8 @@ def running_bytes(sizes: DataFrame, at: str) -> DataFrame:
     return rows.join(F.broadcast(offsets), ["old", "part"]).select("old", "bytes", "size", "key", (F.col("local") + F.col("offset")).alias("before"))
 
 
-def plan_blocks(sizes: DataFrame, old_shards: int, capacities: list[int] | None, new_shards: int, at: str) -> list[tuple[int, int, int | None, int]]:
-    """(old, size, key, shard) of the first document of each block, in order: at most old x new rows reach the driver."""
+def plan_blocks(sizes: DataFrame, old_shards: int, capacities: list[int] | None, new_shards: int, at: str) -> tuple[list, int]:
+    """(old, shard, bytes before, size, key) of the first document of each block, in order (at most old x new rows reach the driver), and all bytes."""
     sizes = materialize(sizes.groupBy("old", "size", "key").agg(F.count(F.lit(1)).alias("n")).select("old", (F.col("size") * F.col("n")).alias("bytes"), "size", "key"), "sizes", at)
     found = {r["old"]: r["b"] for r in sizes.groupBy("old").agg(F.sum("bytes").alias("b")).collect()}
     old = [int(found.get(i, 0)) for i in range(old_shards)]
@@ -128,12 +128,12 @@ def plan_blocks(sizes: DataFrame, old_shards: int, capacities: list[int] | None,
                 stop += row[j]
     spark = sizes.sparkSession
     if not spans:
-        return []
+        return [], 0
     middle = F.col("before") + F.col("bytes") / 2
     table = F.broadcast(spark.createDataFrame(spans, "old int, shard int, lo long, hi long"))
     placed = running_bytes(sizes, at).join(table, "old").where((middle >= F.col("lo")) & (middle < F.col("hi")))
     firsts = placed.groupBy("old", "shard").agg(F.min(F.struct("before", "size", "key")).alias("x")).collect()
-    return sorted((r["old"], r["shard"], r["x"]["before"], r["x"]["size"], r["x"]["key"]) for r in firsts)
+    return sorted((r["old"], r["shard"], r["x"]["before"], r["x"]["size"], r["x"]["key"]) for r in firsts), sum(old)
 
 
 def block_shard(blocks: list, old: Column, size: Column, key: Column) -> Column:
@@ -150,22 +150,22 @@ def block_shard(blocks: list, old: Column, size: Column, key: Column) -> Column:
     return out.cast("int")
 
 
-def reshard(docs: DataFrame, out: str, old_shards: int = 16, new_shards: int = 24, old: Column | None = None, capacities: list[int] | None = None, files: int | None = None) -> DataFrame:
+def reshard(docs: DataFrame, out: str, old_shards: int = 16, new_shards: int = 24, old: Column | None = None, capacities: list[int] | None = None, files: int | None = None, bytes_a_task: int = 1 << 26) -> DataFrame:
     """Writes ``docs`` as Parquet under ``out/shard=J/moved=true|false`` and gives the files back as a DataFrame.
 
-    ``old``: a document's old shard (default: by hash of its id). Equal ids and sizes stay together. An empty table
+    ``old``: a document's old shard (default: by hash of its id); a null id is the least. Equal ids and sizes stay together. An empty table
     writes nothing and gives no rows. Extra columns stay; ``shard`` and ``moved`` are replaced.
     """
     spark = docs.sparkSession
     at = work_dir(spark)
     old = hashed_shard(old_shards) if old is None else old
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    blocks = plan_blocks(docs.select(old.alias("old"), size_of().alias("size"), key.alias("key")), old_shards, capacities, new_shards, at)
+    blocks, total = plan_blocks(docs.select(old.alias("old"), size_of().alias("size"), key.alias("key")), old_shards, capacities, new_shards, at)
     shard = block_shard(blocks, F.col(f"{_P}old"), size_of(), key)
     placed = docs.drop("shard", "moved").withColumn(f"{_P}old", old).withColumn("shard", shard).withColumn("moved", F.col("shard") != F.col(f"{_P}old"))
-    files = files or max(1, -(-partitions(spark) // new_shards))
-    salt = F.pmod(F.xxhash64(key), F.lit(files))
-    placed.drop(f"{_P}old").repartition(new_shards * files, "shard", "moved", salt).write.partitionBy("shard", "moved").parquet(out)
+    files = files or max(1, -(-partitions(spark) // new_shards), -(-total // (new_shards * bytes_a_task)))
+    # ranges of a hash within each shard: tasks of even size however keys hash, and more of them as the shards grow
+    placed.drop(f"{_P}old").repartitionByRange(new_shards * files, "shard", "moved", F.xxhash64(key, size_of())).write.partitionBy("shard", "moved").parquet(out)
     schema = docs.drop("shard", "moved").select("*", F.lit(0).alias("shard"), F.lit(False).alias("moved")).schema
     return spark.read.schema(schema).parquet(out)
 
