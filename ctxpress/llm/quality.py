@@ -6,7 +6,8 @@ empirical beta prior (method of moments over all hosts, sampling variance taken
 the documents:
 
 * ``blocked``: the shrunken rate is ``block_rate`` or more; all documents of the host go;
-* ``watched``: it is ``watch_rate`` or more; documents that fail any rule go;
+* ``watched``: it is at least the ``watch_quantile`` of the prior, so the host is worse than most, or at least
+  ``watch_rate``; documents that fail any rule go;
 * ``trusted``: documents that fail two rules or more go.
 
 A document that fails the base rule goes in any case, and a clean one of a host that is not blocked always stays.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,7 +86,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
     return append_columns(docs, ", ".join(f"{n} long" for n in names), make)
 
 
-def host_verdicts(counted: DataFrame, host_col: str = "source", watch_rate: float = 0.02, block_rate: float = 0.9) -> DataFrame:
+def host_verdicts(counted: DataFrame, host_col: str = "source", watch_quantile: float = 0.75, watch_rate: float = 0.5, block_rate: float = 0.9) -> DataFrame:
     """host, n_docs, n_failed (any rule), a failure count for each rule, rate (shrunken), verdict; null hosts are one host, ''."""
     failed = F.greatest(*(F.col(f"{_P}{r}") for r in RULES))
     hosts = counted.groupBy(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")).agg(
@@ -94,8 +96,9 @@ def host_verdicts(counted: DataFrame, host_col: str = "source", watch_rate: floa
     rate = F.col("n_failed") / F.col("n_docs")
     one = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("n_docs")).alias("i"), F.count(F.lit(1)).alias("n")).first()
     mean, strength = beta_prior(one["m"], one["v"], one["i"])
+    watch = min(beta_quantile(mean, strength, watch_quantile), watch_rate)
     shrunk = (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength)
-    return hosts.withColumn("rate", shrunk).withColumn("verdict", F.when(F.col("rate") >= block_rate, "blocked").when(F.col("rate") >= watch_rate, "watched").otherwise("trusted"))
+    return hosts.withColumn("rate", shrunk).withColumn("verdict", F.when(F.col("rate") >= block_rate, "blocked").when(F.col("rate") >= watch, "watched").otherwise("trusted"))
 
 
 def beta_prior(mean: float | None, variance: float | None, mean_inverse_n: float | None) -> tuple[float, float]:
@@ -107,9 +110,19 @@ def beta_prior(mean: float | None, variance: float | None, mean_inverse_n: float
     return mean, min(1000.0, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 0 else 1000.0
 
 
+def beta_quantile(mean: float, strength: float, q: float) -> float:
+    """The ``q`` quantile of the beta distribution of this mean and strength, by sums over a grid of log odds."""
+    z = np.linspace(-60, 60, 240_001)
+    low, high = -np.logaddexp(0, -z), -np.logaddexp(0, z)  # logs of x and of 1 - x
+    density = mean * strength * low + (1 - mean) * strength * high
+    mass = np.cumsum(np.exp(density - density.max()))
+    return float(np.exp(low[np.searchsorted(mass, q * mass[-1])]))
+
+
 def judge(docs: DataFrame, host_col: str = "source", broadcast_hosts: int = 20_000, carry: list[str] | None = None, **rates: float) -> DataFrame:
     """``docs`` (or its columns ``carry``, the host among them) with ``__ctx_`` counts, ``__ctx_verdict`` and ``__ctx_kept``. The host table is broadcast only up to
-    ``broadcast_hosts`` rows; beyond, it is a shuffle join that Spark splits for a hot host."""
+    ``broadcast_hosts`` rows; beyond, it is a shuffle join that Spark splits for a hot host. A null text is empty and fails the base rule;
+    null hosts and '' are one host; hosts of equal rate get one verdict; repeated rows count each; of no rows come none."""
     counted = with_counts(docs)
     if carry is not None:
         counted = counted.select(*carry, *(f"{_P}{c}" for c in (*COUNTS, *RULES)))

@@ -60,9 +60,11 @@ def test_chat_format(spark):
     hard = "~0 <|end|> ~a <|turn|>user<|text|> </s> \n"
     rows = [(1, 0, "user", hard, 7), (1, 1, "user", None, 7), (1, 2, "assistant", hard, 7), (1, 2, "assistant", hard, 7), (1, None, None, "x", 7), (None, 0, "assistant", "", 7), (2, 0, "assistant", LONG, 7)]
     talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns int")
-    back = {r["conv_id"]: r for r in chat_format.parse_conversations(chat_format.format_conversations(talk)).collect()}
+    back = {r["conv_id"]: r for r in chat_format.parse_conversations(chat_format.masked_text(chat_format.format_conversations(talk))).collect()}
     assert [(t["role"], t["text"]) for t in back[1]["turns"]] == [("", "x"), ("user", hard), ("user", ""), ("assistant", hard), ("assistant", hard)]
-    assert back[1]["loss_texts"] == [hard, hard] and back[None]["loss_texts"] == [""] and back[2]["loss_texts"] == [LONG]
+    assert back[1]["loss_text"] == hard + hard and back[None]["loss_text"] == "" and back[2]["loss_text"] == LONG
+    wrong = chat_format.format_conversations(talk).withColumn("loss_mask", F.transform("loss_mask", lambda p: F.struct(p["n"].alias("n"), (~p["loss"]).alias("loss"))))
+    assert {r["conv_id"]: r["loss_text"] for r in chat_format.masked_text(wrong).collect()}[1] != hard + hard  # the mask decides
     formatted = {r["conv_id"]: r for r in chat_format.format_conversations(talk).collect()}
     r, at, masked = formatted[1], 0, []
     for run in r["loss_mask"]:
@@ -92,6 +94,31 @@ def test_quality_hosts(spark):
     assert got[6000]["__ctx_rate"] < 0.9  # one failure of one is shrunk towards the prior
 
 
+def test_beta_quantile():
+    rng = __import__("random").Random(2)
+    for mean, strength in ((0.1, 30.0), (0.5, 2.0), (0.02, 1000.0), (0.6, 1.0)):
+        drawn = sorted(rng.betavariate(mean * strength, (1 - mean) * strength) for _ in range(20_000))
+        for q in (0.25, 0.75):
+            assert quality.beta_quantile(mean, strength, q) == pytest.approx(drawn[int(q * 20_000)], abs=0.02)
+
+
+def test_verdicts_differ_between_hosts(spark):
+    """``kept`` follows a plain recomputation of rates and verdicts, and the same failing text stays or goes by its host."""
+    good, bad = " ".join(f"word{i}" for i in range(20)), "# $ % & | < > * alpha beta gamma delta epsilon zeta eta theta"
+    failing = {f"h{k}": 4 * k for k in range(12)}
+    rows = [(1000 * int(h[1:]) + i, bad if i < n else good, h) for h, n in failing.items() for i in range(200)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    rates = [n / 200 for n in failing.values()]
+    mean = sum(rates) / 12
+    spread = sum((r - mean) ** 2 for r in rates) / 12 - mean * (1 - mean) / 200
+    strength = min(1000.0, max(1.0, mean * (1 - mean) / spread - 1))
+    cut = quality.beta_quantile(mean, strength, 0.75)
+    verdict = {h: "watched" if (n + mean * strength) / (200 + strength) >= cut else "trusted" for h, n in failing.items()}
+    assert set(verdict.values()) == {"watched", "trusted"}
+    for d, text, h in rows:
+        assert got[d]["__ctx_verdict"] == verdict[h] and got[d]["__ctx_kept"] == (text == good or verdict[h] == "trusted")
+
+
 def test_reshard(spark, frames):
     full, empty = frames
     layout = resharding.with_slots(resharding.reshard(full, f"{work_dir(spark)}/{uuid.uuid4().hex}", 4, 3))
