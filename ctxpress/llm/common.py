@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,20 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving every folder that :func:`work_dir` gave out inside: for steps whose result is written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            discard(spark, path)
+
+
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared one the cluster names in ``spark.checkpoint.dir``.
 
@@ -25,7 +41,10 @@ def work_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(spark, "_ctxpress_dir", None) or tempfile.mkdtemp(prefix="ctxpress-")
         spark._ctxpress_dir = base
-    return f"{base.rstrip('/')}/ctxpress-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/ctxpress-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str = "step", at: str | None = None) -> DataFrame:
