@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ctxpress.llm.common import fold, read, work_dir
+from ctxpress.llm.common import discard, fold, read, temporary, work_dir
 from ctxpress.llm.decontaminate import decontaminate
 from ctxpress.llm.near_dedup import near_dedup_filter
 from ctxpress.llm.packing import pack_documents
@@ -54,11 +54,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the whole ``documents`` table."""
+    """All stages in order over the whole ``documents`` table.
+
+    A stage's own tables, and its input if an earlier stage wrote that, are deleted once its output is written; the last
+    output stays, as the result reads it. Of an empty table come no rows. Nulls and repeated rows are dealt with as the
+    operators state.
+    """
     ensure_importable(spark)
-    docs, at = read(spark, sf_dir, "documents"), work_dir(spark)
+    docs, at, before = read(spark, sf_dir, "documents"), work_dir(spark), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{at}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            discard(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
