@@ -47,9 +47,19 @@ def work_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str = "step", at: str | None = None) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
+def few(spark: SparkSession) -> int:
+    """Files of a table that holds no texts: an eighth of the shuffle partitions, four at least."""
+    return max(4, partitions(spark) // 8)
+
+
+def materialize(df: DataFrame, name: str = "step", at: str | None = None, files: int | None = None) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again: cuts the lineage, survives lost executors.
+
+    ``files``: so many at most; the last step of ``df`` then runs in as many tasks, so what is dear there is dealt anew
+    before. Each file of a local folder costs its executor two forked processes, as Hadoop sets permissions by ``chmod``.
+    """
     spark = df.sparkSession
+    df = df if files is None else df.coalesce(files)
     path = f"{at or work_dir(spark)}/{name}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

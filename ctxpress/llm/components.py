@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ctxpress.llm.common import few as few_files
 from ctxpress.llm.common import materialize
 
 
@@ -50,7 +51,7 @@ def _merge(batches):
 def connected(edges: DataFrame, at: str, most: int = 60, few: int = 500_000) -> DataFrame:
     """node, component (its least node) for every node of ``edges`` (a, b; any order, repeats and loops allowed)."""
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = materialize(links, "links", at)
+    links = materialize(links, "links", at, few_files(edges.sparkSession))
     if links.count() <= few:
         kind = dict(links.dtypes)["a"]
         return links.coalesce(1).mapInArrow(_merge, f"node {kind}, component {kind}")
@@ -60,7 +61,7 @@ def connected(edges: DataFrame, at: str, most: int = 60, few: int = 500_000) ->
         if state[0] == 0 or tuple(state) == before:
             break
         before = tuple(state)
-        links = materialize(_star(_star(links, True), False), f"links{k}", at)
+        links = materialize(_star(_star(links, True), False), f"links{k}", at, few_files(edges.sparkSession))
     else:
         raise RuntimeError(f"components are not stable after {most} iterations")
     nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxpress.llm.common import materialize, partitions, read, work_dir
+from ctxpress.llm.common import few, materialize, partitions, read, work_dir
 from ctxpress.llm.components import connected
 from ctxpress.llm.shingles import mix, shingles, text_runs, weighted, weighted_set
 
@@ -244,6 +244,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 25, r
     all their words. Groups are the connected components of the confirmed pairs. ``small``: up to so many nodes, the
     list of those that need their text is broadcast (24 bytes a node); beyond, it is a shuffle join. ``bytes_a_block``:
     about so many bytes of text of a bucket meet as many in one step of a task; results do not depend on it.
+    Tables of ids are written as few files.
     """
     spark = docs.sparkSession
     at = work_dir(spark)
@@ -251,24 +252,24 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 25, r
     signed = rows_.groupBy("node").agg(F.first("buckets").alias("buckets"))
     dealt = signed.select("node", F.explode("buckets").alias("bucket"))
     centre = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n")
-    members = materialize(dealt.join(centre, "bucket"), "members", at)
-    needed = materialize(members.select("node").distinct(), "needed", at)
+    members = materialize(dealt.join(centre, "bucket"), "members", at, few(spark))
+    needed = materialize(members.select("node").distinct(), "needed", at, few(spark))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     needed = F.broadcast(needed) if needed.count() <= small else needed
     texts = docs.select(F.unhex(F.md5(text)).alias("node"), text.alias("text")).join(needed, "node", "left_semi").dropDuplicates(["node"])
     texts = materialize(texts, "texts", at)
     nodes = signed.join(texts.select("node", F.octet_length("text").cast("long").alias("size")), "node")
-    nodes = materialize(nodes, "nodes", at)
+    nodes = materialize(nodes, "nodes", at, few(spark))
     members_ = members.select("bucket", "node")
 
     pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(_confirmed(pairs, texts, similarity), "links0", at)
+    links = materialize(_confirmed(pairs, texts, similarity).repartition(few(spark)), "links0", at)
     groups = materialize(connected(links, f"{at}/round0"), "groups0", at)
     done: DataFrame | None = None
     for k in range(1, 40):
         most = 256 * 16 ** (k - 1)
         labelled = members_.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        labelled = materialize(labelled, f"labelled{k}", at)
+        labelled = materialize(labelled, f"labelled{k}", at, few(spark))
         sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
         spans = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1")
         hard = labelled.join(spans.select("bucket", "largest", "n"), "bucket")
@@ -277,17 +278,17 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 25, r
         # of each bucket that spans several components, members outside the largest become centres: all of a bucket of up to ``most``
         turn = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 20)) * F.col("n") < F.lit(most << 20)
         outside = F.col("component") != F.col("largest")
-        hard = materialize(hard.select("bucket", "node", "component", outside.alias("outside"), (outside & turn).alias("turn")), f"hard{k}", at)
+        hard = materialize(hard.select("bucket", "node", "component", outside.alias("outside"), (outside & turn).alias("turn")), f"hard{k}", at, few(spark))
         if hard.where("outside").isEmpty():
             break
         centres = hard.where("turn").select("bucket", "node")
-        links = materialize(_settle(hard.join(nodes, "node"), texts, similarity, bytes_a_block), f"links{k}", at)
+        links = materialize(_settle(hard.join(nodes, "node"), texts, similarity, bytes_a_block).repartition(few(spark)), f"links{k}", at)
         done = centres if done is None else done.unionByName(centres)
         if not links.isEmpty():
             edges = links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
             groups = materialize(connected(edges, f"{at}/round{k}"), f"groups{k}", at)
     named = rows_.select("doc_id", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = materialize(named, "named", at)
+    named = materialize(named, "named", at, few(spark))
     least = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     return named.join(least, "component").select("doc_id", "node", "class_id", "component")
 
