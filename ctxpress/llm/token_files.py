@@ -22,8 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ctxpress.llm.common import id_text, materialize, partitions, read, work_dir
 from ctxpress.llm.encode import encoder, tokenizer_path
@@ -196,11 +195,15 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id
             yield flush()
 
     dealt = id_text(docs).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(dealt.mapInArrow(write, _MANIFEST), "manifest", out)
+    found = dealt.mapInArrow(write, _MANIFEST).collect()  # one small row a file
+    return materialize(docs.sparkSession.createDataFrame(sorted(found), _MANIFEST), "manifest", out, 1)
 
 
-def read_token_files(manifest: DataFrame) -> DataFrame:
-    """Reads the files of a manifest: doc_id, start (tokens of all documents before), n_tokens, ids_crc32, file_path."""
+def read_token_files(manifest: DataFrame, task_tokens: int = 1 << 21) -> DataFrame:
+    """Reads the files of a manifest: doc_id, start (tokens of all documents before), n_tokens, ids_crc32, file_path.
+
+    Whole files go to as many tasks as make about ``task_tokens`` each.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,10 +227,12 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     })
                     lo = hi
 
-    # one row a file: the running sum of so few rows needs no second level
-    before = F.sum("n_tokens").over(Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1))
-    files = manifest.select("path", F.coalesce(before, F.lit(0)).cast("long").alias("base"))
-    return files.repartition(partitions(manifest.sparkSession)).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, file_path string")
+    spark, files, at = manifest.sparkSession, [], 0
+    for row in manifest.orderBy("part", "file").collect():  # one small row a file
+        files.append((row["path"], at))
+        at += row["n_tokens"]
+    tasks = max(4, min(len(files), -(-at // task_tokens)))
+    return spark.createDataFrame(files, "path string, base long").repartition(tasks).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, file_path string")
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
