@@ -10,8 +10,10 @@ the text's most frequent character beyond ASCII) is coded first, so the score is
 All counts cover all training documents. Words are summed by key; the word table grows with the corpus and stays
 distributed. Context tables have about as many slots as there are training tokens, at most ``2**20`` each (a memory bound:
 beyond it contexts share slots). The tree, the slots' predictions and the spelling model are broadcast: their size is
-bounded by ``hot_words`` and the slots. The initial weights and maps are fitted on a bounded sample of training documents
-(``sample_tokens``) and of distinct words (``sample_words``) on the driver, so no figure depends on the number of tasks.
+bounded by ``hot_words`` and the slots. The maps of small counts are learnt from the counts of all training documents.
+The weights and refinement that documents start from take one Newton step over the bits of all training documents and of
+all rare words; a bounded sample (``sample_tokens``, ``sample_words``) only gives the point that the step starts from.
+The sums are the same in any split into tasks up to rounding.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ctxpress.llm.common import fold, materialize, partitions, read, work_dir
-from ctxpress.llm.mixing import SpellingModel, WordModel, runs, slot_bits
+from ctxpress.llm.mixing import LeftOut, SpellingModel, Statistics, WordModel, runs, slot_bits
 
 END = b"\n"
 ESCAPE, STOP = 0, 1
@@ -216,6 +218,24 @@ def code_texts(lean: DataFrame, corpus: Corpus, vocabulary: Vocabulary, at: str)
     return materialize(lean.select("doc_id", "held", "text").mapInArrow(run, _CODED), "coded", at)
 
 
+def _moved(rows: DataFrame, bits_of, mixer, left_out: LeftOut) -> None:
+    """Moves weights and refinement of ``mixer`` by the sums over the bits (slots, bit, depth) that ``bits_of(batches)``
+    yields in all tasks. A task sends some 10 to 20 kB to the driver."""
+    inputs, shared = len(mixer.weights), rows.sparkSession.sparkContext.broadcast(left_out)
+
+    def partial(batches):
+        own, left_out = Statistics.none(inputs), shared.value
+        for slots, bit, depth in bits_of(batches):
+            left_out.gather(own, slots, bit, depth)
+        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], names=["data"])
+
+    total = Statistics.none(inputs)
+    for r in rows.mapInArrow(partial, "data binary").collect():
+        total.add(bytes(r["data"]))
+    shared.destroy()
+    mixer.move(total)
+
+
 def _pieces(batches, most: int = 20_000):
     """(symbols, place, class of each token) for runs of the coded documents in ``batches`` (symbols, cls)."""
     held, size = [], 0
@@ -239,7 +259,8 @@ def _pieces(batches, most: int = 20_000):
 
 
 def train_words(coded: DataFrame, corpus: Corpus, vocabulary: Vocabulary, sample_tokens: int) -> WordModel:
-    """Context counts over all ``coded`` documents, then maps and weights on a bounded sample of them, picked by hash."""
+    """Context counts and maps over all ``coded`` documents; weights and refinement start from a bounded sample of them,
+    picked by hash, and take one Newton step over all."""
     spark = coded.sparkSession
     bits = slot_bits(corpus.n)
     model = WordModel(vocabulary.weights, bits)
@@ -255,7 +276,6 @@ def train_words(coded: DataFrame, corpus: Corpus, vocabulary: Vocabulary, sample
         return model.mixer
 
     _summed(coded.select("symbols", "cls"), learn, model.mixer)
-    shared.destroy()
     turn = F.xxhash64("symbols", "cls")
     share = min(1.0, 2 * sample_tokens / max(1, corpus.n))
     sample = coded.select("symbols", "cls", turn.alias("turn")).where(F.pmod("turn", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
@@ -267,22 +287,40 @@ def train_words(coded: DataFrame, corpus: Corpus, vocabulary: Vocabulary, sample
         symbols = np.frombuffer(bytes(raw), "<u2").astype(np.int64)[: sample_tokens - size]
         size += len(symbols)
         found.append(model.steps(symbols, model.contexts(symbols, np.arange(len(symbols)), np.full(len(symbols), cls)))[:3])
-    _fit(model.mixer, found)
+
+    def bits_of(batches):
+        weights, tree = shared.value
+        model = WordModel(weights, bits, tree)
+        for symbols, place, cls in _pieces(batches):
+            yield model.steps(symbols, model.contexts(symbols, place, cls))[:3]
+
+    _fit(model.mixer, found, coded.select("symbols", "cls"), bits_of)
+    shared.destroy()
     return model
 
 
-def _fit(mixer, found: list) -> None:
-    """Fits maps and weights on the bits of a bounded sample, then replaces counts by predictions."""
+def _fit(mixer, found: list, rows: DataFrame, bits_of) -> None:
+    """Fits maps on all counts, weights and refinement on the bits ``found`` of a bounded sample and then on those of all
+    ``rows``, and replaces counts by predictions."""
     if found:
         slots = [np.concatenate([f[0][p] for f in found]) for p in range(len(mixer.sizes))]
-        mixer.fit(slots, np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found]))
+        left_out = mixer.fit(slots, np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found]))
+        _moved(rows, bits_of, mixer, left_out)
     mixer.seal()
 
 
 def train_spelling(words: DataFrame, n_words: int, sample_words: int) -> SpellingModel:
-    """Slot counts over all distinct ``words`` (word, cls), then maps and weights on a bounded sample, picked by hash."""
+    """Slot counts and maps over all distinct ``words`` (word, cls); weights and refinement start from a bounded sample,
+    picked by hash, and take one Newton step over all."""
     bits = slot_bits(4 * n_words)
 
+    def bits_of(batches):
+        model = SpellingModel(bits)
+        for batch in batches:
+            names, cls = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi in runs(names, 20_000):
+                yield model.steps(names[lo:hi], cls[lo:hi])[:3]
+
     def learn(batches):
         model = SpellingModel(bits)
         for batch in batches:
@@ -296,7 +334,7 @@ def train_spelling(words: DataFrame, n_words: int, sample_words: int) -> Spellin
     _summed(words.select("word", "cls"), learn, model.mixer)
     sample = words.orderBy(F.xxhash64("word"), "word").limit(sample_words).select(F.substring("word", 1, 64).alias("word"), "cls").collect()  # sample_words rows
     names, cls = [bytes(r["word"]) for r in sample], np.array([r["cls"] for r in sample], np.int64)
-    _fit(model.mixer, [model.steps(names[lo:hi], cls[lo:hi])[:3] for lo, hi in runs(names, 50_000)])
+    _fit(model.mixer, [model.steps(names[lo:hi], cls[lo:hi])[:3] for lo, hi in runs(names, 50_000)], words.select("word", "cls"), bits_of)
     return model
 
 

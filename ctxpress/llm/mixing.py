@@ -115,27 +115,42 @@ class Mixer:
         x[-1] = 0.3
         return x, depth * 4 + self.sightings.take(slots[self.known])
 
-    def fit(self, slots: list[np.ndarray], bit: np.ndarray, depth: np.ndarray, passes: int = 2, block: int = 1024) -> None:
-        """Learns the maps of small counts, then weights and refinement online over the given bits, which are in the
-        counts already: what a bit itself added to its slots is taken off."""
-        x, sightings = np.empty((len(slots) + 1, len(bit)), np.float32), None
-        x[-1] = 0.3
-        for p, slot in enumerate(slots):
-            n = self.counts[p]
-            n0, n1 = np.maximum(n.take(slot * 2) - (bit == 0), 0), np.maximum(n.take(slot * 2 + 1) - (bit == 1), 0)
+    def left_out(self) -> LeftOut:
+        """What each counted bit finds once what it added itself is taken off, by slot * 2 + bit, after the maps of small
+        counts are learnt from all counted bits."""
+        tables, sightings = [], None
+        for p, n in enumerate(self.counts):
+            n = n.reshape(-1, 2)
+            n0 = np.stack([np.maximum(n[:, 0] - 1, 0), n[:, 0]], axis=1).reshape(-1)
+            n1 = np.stack([n[:, 1], np.maximum(n[:, 1] - 1, 0)], axis=1).reshape(-1)
             cell = _LEVEL.take(np.minimum(n0, _SMALL)) * _N + _LEVEL.take(np.minimum(n1, _SMALL))
-            hits, ones = np.bincount(cell, minlength=_N * _N), np.bincount(cell, bit, _N * _N)
+            hits, ones = np.bincount(cell, n.reshape(-1), _N * _N), np.bincount(cell[1::2], n[:, 1], _N * _N)
             prior = 1 / (1 + np.exp(-self.maps[p]))
             share = (ones + 4 * prior) / (hits + 4)
             self.maps[p] = np.log(share / (1 - share))
-            x[p] = self._stretched(p, n0, n1)
+            tables.append(self._stretched(p, n0, n1).astype(np.float16).astype(np.float32))
             if p == self.known:
                 sightings = self._sighted(n0 + n1)
-        gate, row = depth * 4 + sightings, depth >> 1
+        return LeftOut(self.known, tables, sightings, self.weights)
+
+    def move(self, found: Statistics) -> None:
+        """One Newton step of the weights, and the refinement, from the statistics of all counted bits."""
+        for g in range(GATES):
+            self.weights[:, g] += np.linalg.solve(found.curve[g] + np.eye(len(self.weights)), found.slope[g])
+        start = 1 / (1 + np.exp(-np.linspace(-8, 8, BUCKETS)))
+        self.refine[:] = (found.ones + 4 * start) / (found.hits + 4)
+
+    def fit(self, slots: list[np.ndarray], bit: np.ndarray, depth: np.ndarray, passes: int = 2, block: int = 1024) -> LeftOut:
+        """Learns the maps of small counts from all counts, then weights and refinement online over the given bits, which
+        are in the counts already: what a bit itself added to its slots is taken off. What it gives holds the weights."""
+        left_out = self.left_out()
+        x, gate = left_out.inputs(slots, bit, depth)
+        row = depth >> 1
         for _ in range(passes):
             cuts = list(range(0, len(bit), block)) + [len(bit)]
             weights, refine = self.weights, self.refine
             self.code(x, bit, gate, row, cuts, weights, refine, rate=0.02, pace=0.02)
+        return left_out
 
     def code(self, x, bit, gate, row, cuts, weights, refine, rate: float, pace: float) -> np.ndarray:
         """log10 probability of each bit; ``weights`` (inputs, gates) and ``refine`` (rows, buckets) learn in place after
@@ -170,6 +185,80 @@ class Mixer:
         return out
 
 
+@dataclass
+class Statistics:
+    """Sums over bits: slope and curvature of the log likelihood by gate, and zeros and ones by cell of the refinement."""
+
+    slope: np.ndarray
+    curve: np.ndarray
+    hits: np.ndarray
+    ones: np.ndarray
+
+    @staticmethod
+    def none(inputs: int) -> Statistics:
+        return Statistics(*(np.zeros(s) for s in ((GATES, inputs), (GATES, inputs, inputs), (ROWS, BUCKETS), (ROWS, BUCKETS))))
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.slope, self.curve, self.hits, self.ones
+
+    def tobytes(self) -> bytes:
+        return b"".join(part.tobytes() for part in self.parts())
+
+    def add(self, data: bytes) -> None:
+        """Adds what ``tobytes`` gave."""
+        at = 0
+        for part in self.parts():
+            part += np.frombuffer(data, np.float64, part.size, at).reshape(part.shape)
+            at += part.nbytes
+
+
+@dataclass
+class LeftOut:
+    """Predictions and sightings by slot * 2 + bit, for bits that are in the counts, and the weights to start from."""
+
+    known: int
+    tables: list[np.ndarray]
+    sightings: np.ndarray
+    weights: np.ndarray
+
+    def __getstate__(self) -> dict:
+        packed = [zlib.compress(t.astype(np.float16).tobytes(), 1) for t in self.tables]
+        return self.__dict__ | {"tables": packed, "sightings": zlib.compress(self.sightings.tobytes(), 1)}
+
+    def __setstate__(self, state: dict) -> None:
+        tables = [np.frombuffer(zlib.decompress(t), np.float16).astype(np.float32) for t in state["tables"]]
+        self.__dict__.update(state | {"tables": tables, "sightings": np.frombuffer(zlib.decompress(state["sightings"]), np.uint8)})
+
+    def inputs(self, slots: list[np.ndarray], bit: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Like those of a sealed :class:`Mixer`."""
+        x = np.empty((len(slots) + 1, len(depth)), np.float32)
+        for p, slot in enumerate(slots):
+            at = slot * 2
+            at += bit
+            np.take(self.tables[p], at, out=x[p], mode="clip")
+            if p == self.known:
+                seen = self.sightings.take(at)
+        x[-1] = 0.3
+        return x, depth * 4 + seen
+
+    def gather(self, into: Statistics, slots: list[np.ndarray], bit: np.ndarray, depth: np.ndarray) -> None:
+        """Adds the statistics of the bits. The row of the refinement hangs on the depth, so on the gate."""
+        x, gate = self.inputs(slots, bit, depth)
+        order = np.argsort(gate.astype(np.uint8), kind="stable")
+        x, y, ends = x.take(order, axis=1), bit.take(order).astype(np.float32), np.cumsum(np.bincount(gate, minlength=GATES))
+        for g, (a, b) in enumerate(zip([0, *ends], ends)):
+            if a == b:
+                continue
+            xs, ys = x[:, a:b], y[a:b]
+            z = np.clip(self.weights[:, g] @ xs, -7.999, 7.999)
+            p = 1 / (1 + np.exp(-z))
+            into.slope[g] += xs @ (ys - p)
+            into.curve[g] += (xs * (p * (1 - p))) @ xs.T
+            cell = np.rint((z + 8) * ((BUCKETS - 1) / 16)).astype(np.int64)
+            into.hits[g >> 3] += np.bincount(cell, minlength=BUCKETS)
+            into.ones[g >> 3] += np.bincount(cell, ys, BUCKETS)
+
+
 class Tree:
     """A Huffman tree over symbols 0 to n - 1: ``start``, ``length`` of each symbol's path in ``nodes`` and ``bits``."""
 

@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pytest
 
-from ctxpress.llm.mixing import BUCKETS, GATES, SpellingModel, Tree, WordModel
+from ctxpress.llm.mixing import BUCKETS, GATES, Mixer, SpellingModel, Statistics, Tree, WordModel
 
 
 def trained():
@@ -107,3 +107,44 @@ def test_held_out_texts_are_likelier_than_under_the_base(spark):
 
     rows = op2_context_mixing(spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+def test_weights_are_those_of_all_training_rows(spark):
+    """However small the sample that training starts from, the weights end near those of all rows: 0.2 % apart, 3.4 % with the sample alone."""
+    from ctxpress.llm.common import fold, read
+    from ctxpress.llm.context_mixing import score
+
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    few, many = (score(docs, fold(7) == 2, sample_tokens=n, sample_words=w).agg({"score": "sum"}).first()[0] for n, w in ((3_000, 300), (60_000, 6_000)))
+    assert few == pytest.approx(many, rel=1e-2)
+
+
+def test_statistics_are_sums_over_bits():
+    """Maps, slopes and refinement against a plain loop; the slopes go to 0."""
+    rng = np.random.default_rng(5)
+    mixer, bit, depth = Mixer((50, 400), known=1), rng.integers(0, 2, 3000), rng.integers(0, 8, 3000)
+    slots = [(rng.integers(0, n // 2, 3000) * 2 + (rng.random(3000) < 0.1 + 0.8 * bit)) for n in mixer.sizes]
+    mixer.learn(slots, bit)
+    left_out, whole, parts = mixer.left_out(), Statistics.none(3), Statistics.none(3)
+    left_out.gather(whole, slots, bit, depth)
+    for lo in range(0, 3000, 700):
+        own = Statistics.none(3)
+        left_out.gather(own, [s[lo : lo + 700] for s in slots], bit[lo : lo + 700], depth[lo : lo + 700])
+        parts.add(own.tobytes())
+    for a, b in zip(whole.parts(), parts.parts(), strict=True):
+        assert b == pytest.approx(a, rel=1e-3, abs=1e-2)
+    slope = np.zeros((GATES, 3))
+    for k in range(3000):
+        n = [(mixer.counts[p][2 * s[k]] - (bit[k] == 0), mixer.counts[p][2 * s[k] + 1] - (bit[k] == 1)) for p, s in enumerate(slots)]
+        x = [float(mixer._stretched(p, np.array([a]), np.array([b]))[0]) for p, (a, b) in enumerate(n)] + [0.3]
+        g = depth[k] * 4 + int(mixer._sighted(np.array([sum(n[1])]))[0])
+        slope[g] += (bit[k] - 1 / (1 + math.exp(-sum(mixer.weights[i][g] * x[i] for i in range(3))))) * np.array(x)
+    assert whole.slope == pytest.approx(slope, rel=1e-2, abs=0.2)
+    assert whole.hits.sum() == 3000 and whole.ones.sum() == bit.sum()
+    sums, found = [np.abs(whole.slope).sum()], whole
+    for _ in range(6):  # Newton steps, from weights that nothing was fitted to
+        mixer.move(found)
+        found = Statistics.none(3)
+        left_out.gather(found, slots, bit, depth)
+        sums.append(np.abs(found.slope).sum())
+    assert sums[1] < 0.5 * sums[0] and sums[-1] < 0.01 * sums[0]
