@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -143,7 +144,9 @@ class Vocabulary:
 
     def symbols(self, words: list[bytes]) -> np.ndarray:
         get = self.index.get
-        return np.array([*[get(w, ESCAPE) for w in words], STOP], np.int64)
+        out = np.empty(len(words) + 1, np.int64)
+        out[:-1], out[-1] = np.fromiter(map(get, words, repeat(ESCAPE)), np.int64, len(words)), STOP
+        return out
 
 
 # --- training ---------------------------------------------------------------------------------------------------
@@ -200,10 +203,11 @@ def code_texts(lean: DataFrame, corpus: Corpus, vocabulary: Vocabulary, at: str)
                 symbols, cls, sizes, words, times, ends = [], [], [], [], [], [0]
                 for text in part.column(2).to_pylist():
                     own = tokens(text)
-                    symbols.append(vocabulary.symbols(own).astype("<u2").tobytes())
+                    found = vocabulary.symbols(own)
+                    symbols.append(found.astype("<u2").tobytes())
                     cls.append(corpus.classes.get(raw_class(text), 0))
                     sizes.append(len(text.encode("utf-8")))
-                    others = Counter([w for w in own if w not in vocabulary.index])
+                    others = Counter(compress(own, (found[:-1] == ESCAPE).tolist()))
                     words += others
                     times += others.values()
                     ends.append(len(words))
@@ -408,7 +412,8 @@ def score(docs: DataFrame, held_out, **how) -> DataFrame:
 
     sums = "n_tokens long, n_known long, base double, full double"
     whole = coded.select("uid", "doc_id", "held", "size", "cls", "symbols").mapInArrow(mixed, f"uid long, doc_id long, held boolean, size long, {sums}")
-    met = coded.select("uid", "cls", F.explode("others").alias("x")).select("uid", "cls", "x.word", "x.n").join(rare.withColumnRenamed("cls", "main"), "word", "left")
+    # the rare words of a partition are far fewer than the rows that meet them, which need no order
+    met = coded.select("uid", "cls", F.explode("others").alias("x")).select("uid", "cls", "x.word", "x.n").join(rare.withColumnRenamed("cls", "main").hint("shuffle_hash"), "word", "left")
     in_class = F.when(F.col("cls") == F.col("main"), F.col("n_main")).otherwise(0)  # of the class that has most of a word
     met = met.select("uid", "cls", "word", "n", F.coalesce("count", F.lit(0)).alias("count"), in_class.cast("long").alias("in_class"))
     speller = spark.sparkContext.broadcast((corpus, spelling))
