@@ -48,8 +48,8 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def few(spark: SparkSession) -> int:
-    """Files of a table that holds no texts: an eighth of the shuffle partitions, four at least."""
-    return max(4, partitions(spark) // 8)
+    """Files of a table that holds no texts: an eighth of the shuffle partitions, so that they grow with them."""
+    return -(-partitions(spark) // 8)
 
 
 def materialize(df: DataFrame, name: str = "step", at: str | None = None, files: int | None = None) -> DataFrame:
