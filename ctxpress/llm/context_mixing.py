@@ -21,15 +21,15 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ctxpress.llm.common import fold, materialize, partitions, read, work_dir
-from ctxpress.llm.mixing import LeftOut, SpellingModel, Statistics, WordModel, runs, slot_bits
+from ctxpress.llm.mixing import MOST_KEYS, LeftOut, SpellingModel, Statistics, WordModel, runs, slot_bits
 
 END = b"\n"
 ESCAPE, STOP = 0, 1
@@ -57,29 +57,58 @@ def raw_class(text: str) -> int:
 _COUNT = pa.schema([("cls", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
 
 
-def _count_words(batches, most: int = 300_000):
-    """Rows (raw class, word, n), summed within a task as far as ``most`` distinct words go. In place of a word, END and the
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (see ``tokens``) as bytes, one behind the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+    real = pc.binary_length(words).to_numpy() > 0  # blanks at the ends of a text leave an empty piece
+    if not real.all():
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
+        words = words.filter(pa.array(real))
+    return words.cast(pa.binary()), sizes
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of some keys, sorted, and how many there are of each."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def _count_words(batches, most: int = 1 << 21):
+    """Rows (raw class, word, n), summed over about ``most`` words of a task at a time. In place of a word, END and the
     class count its texts, and END, the class and a character bucket which characters they hold."""
-    held: dict[int, Counter] = {}
+    held, classes, special = [], [], Counter()
 
     def out():
-        for cls, seen in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), cls, np.int32)), pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], schema=_COUNT)
-        held.clear()
+        coded = pa.chunked_array(held, pa.binary()).combine_chunks().dictionary_encode()
+        keys, times = _grouped(np.concatenate(classes) << 32 | coded.indices.to_numpy().astype(np.int64))
+        words = coded.dictionary.take(pa.array(keys & 0xFFFFFFFF))
+        names = pa.concat_arrays([pa.array([w for _, w in special], pa.binary()), words])
+        cls = np.concatenate([np.array([c for c, _ in special], np.int64), keys >> 32])
+        n = np.concatenate([np.array(list(special.values()), np.int64), times])
+        held.clear(), classes.clear(), special.clear()
+        return pa.RecordBatch.from_arrays([pa.array(cls, pa.int32()), names, pa.array(n, pa.int64())], schema=_COUNT)
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            cls = raw_class(text)
-            seen = held.setdefault(cls, Counter())
-            seen.update(tokens(text))
-            seen[END + bytes([cls])] += 1
-            if cls:
-                other = text.encode("utf-8").translate(None, _ASCII).decode("utf-8")
-                for c, n in Counter(other).items():
-                    seen[END + bytes([cls, zlib.crc32(c.encode("utf-8")) % 255])] += n
-        if sum(map(len, held.values())) > most:
-            yield from out()
-    yield from out()
+        for lo in range(0, batch.num_rows, 1000):
+            texts = batch.column(0).slice(lo, 1000)
+            own = []
+            for text in texts.to_pylist():
+                cls = raw_class(text)
+                own.append(cls)
+                special[cls, END + bytes([cls])] += 1
+                if cls:
+                    other = text.encode("utf-8").translate(None, _ASCII).decode("utf-8")
+                    for c, n in Counter(other).items():
+                        special[cls, END + bytes([cls, zlib.crc32(c.encode("utf-8")) % 255])] += n
+            words, sizes = _words(texts)
+            held.append(words)
+            classes.append(np.repeat(np.array(own, np.int64), sizes))
+            if sum(map(len, held)) >= most:
+                yield out()
+    if held:
+        yield out()
 
 
 def group_classes(rows: list[tuple[int, bytes, int]]) -> dict[int, int]:
@@ -135,18 +164,21 @@ class Corpus:
 
 
 class Vocabulary:
-    """Hot words as symbols (``ESCAPE``, ``STOP``, then words by frequency) with their counts in the corpus."""
+    """Hot words as symbols (``ESCAPE``, ``STOP``, then words by frequency) with their counts in the corpus, and of the
+    most frequent other words what a join would give (table of word, count, n_main, cls)."""
 
-    def __init__(self, words: list[tuple[bytes, int]], ends: int, rare: int):
-        self.index = {w: k + 2 for k, (w, _) in enumerate(words)}
+    def __init__(self, words: list[tuple[bytes, int]], ends: int, rare: int, warm: pa.Table | None = None):
+        self.n_hot, more = len(words), [] if warm is None else warm.column("word").cast(pa.binary()).chunks
+        self.words = pa.concat_arrays([pa.array([w for w, _ in words], pa.binary()), *more])
+        self.warm = [] if warm is None else [warm.column(c).to_numpy() for c in ("count", "n_main", "cls")]
         self.counts = np.array([0, ends, *(c for _, c in words)], np.int64)
         self.weights = [rare + 1, ends + 1, *(c for _, c in words)]  # of the tree
 
-    def symbols(self, words: list[bytes]) -> np.ndarray:
-        get = self.index.get
-        out = np.empty(len(words) + 1, np.int64)
-        out[:-1], out[-1] = np.fromiter(map(get, words, repeat(ESCAPE)), np.int64, len(words)), STOP
-        return out
+    def symbols(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol of each word, and its row among the warm words (-1: none)."""
+        found = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+        hot = (found >= 0) & (found < self.n_hot)
+        return np.where(hot, found + 2, ESCAPE), np.where(found >= self.n_hot, found - self.n_hot, -1)
 
 
 # --- training ---------------------------------------------------------------------------------------------------
@@ -159,36 +191,48 @@ def _summed(rows: DataFrame, learn, mixer) -> None:
     ``_PART`` counts; as many rows as the tables have reach the driver, whatever the corpus."""
     spark = rows.sparkSession
 
+    def rows_of(parts):
+        for part, row in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(row)], pa.int32()), pa.array([pa.compress(row, "zstd", asbytes=True)], pa.binary())], names=["part", "n", "data"])
+
+    def row_of(n, data):
+        return np.frombuffer(pa.decompress(data, 4 * n, "zstd"), np.int32)
+
     def partial(batches):
         own = learn(batches)
-        for p, counts in enumerate(own.counts):
-            for k in range(0, len(counts), _PART):
-                part = counts[k : k + _PART]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([p << 16 | k // _PART], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["part", "data"])
+        parts = ((p << 16 | k // _PART, counts[k : k + _PART]) for p, counts in enumerate(own.counts) for k in range(0, len(counts), _PART))
+        yield from rows_of((part, row) for part, row in parts if row.any())
 
     def total(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row = np.frombuffer(zlib.decompress(data), np.int32)
+            for part, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = row_of(n, data)
                 sums[part] = sums[part] + row if part in sums else row
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(r.tobytes(), 1) for r in sums.values()], pa.binary())], names=["part", "data"])
+        yield from rows_of(sums.items())
 
-    kinds = "part int, data binary"
+    kinds = "part int, n int, data binary"
     done = rows.mapInArrow(partial, kinds).repartition(partitions(spark), "part").mapInArrow(total, kinds)
     for r in done.collect():
         p, k = r["part"] >> 16, (r["part"] & 0xFFFF) * _PART
-        row = np.frombuffer(zlib.decompress(r["data"]), np.int32)
-        mixer.counts[p][k : k + len(row)] = row
+        mixer.counts[p][k : k + r["n"]] = row_of(r["n"], bytes(r["data"]))
+
 
+_CODED = "uid long, doc_id long, held boolean, size long, cls int, symbols binary, known long, base double, full double, others array<struct<word:binary,n:long>>"
 
-_CODED = "uid long, doc_id long, held boolean, size long, cls int, symbols binary, others array<struct<word:binary,n:long>>"
+
+def _slices(batch: pa.RecordBatch, column: int, most: int = 16 << 20):
+    """``batch`` in parts of about ``most`` bytes of a text column."""
+    ends, lo = np.cumsum(pc.binary_length(batch.column(column)).to_numpy().astype(np.int64)), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most)))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def code_texts(lean: DataFrame, corpus: Corpus, vocabulary: Vocabulary, at: str) -> DataFrame:
-    """Each document of ``lean`` (doc_id, held, text) once as symbols (unsigned 16 bits), class, and its other words with
-    their numbers: training and scoring read this instead of the texts."""
+    """Each document of ``lean`` (doc_id, held, text) once as symbols (unsigned 16 bits), class, what its warm words come to
+    (see ``Vocabulary``), and its other words with their numbers: training and scoring read this instead of the texts."""
     spark = lean.sparkSession
     shared = spark.sparkContext.broadcast((corpus, vocabulary))
 
@@ -198,39 +242,44 @@ def code_texts(lean: DataFrame, corpus: Corpus, vocabulary: Vocabulary, at: str)
         corpus, vocabulary = shared.value
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                symbols, cls, sizes, words, times, ends = [], [], [], [], [], [0]
-                for text in part.column(2).to_pylist():
-                    own = tokens(text)
-                    found = vocabulary.symbols(own)
-                    symbols.append(found.astype("<u2").tobytes())
-                    cls.append(corpus.classes.get(raw_class(text), 0))
-                    sizes.append(len(text.encode("utf-8")))
-                    others = Counter(compress(own, (found[:-1] == ESCAPE).tolist()))
-                    words += others
-                    times += others.values()
-                    ends.append(len(words))
-                others = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"]))
-                n = part.num_rows
+            for part in _slices(batch, 2):
+                n, texts = part.num_rows, part.column(2)
+                cls = np.array([corpus.classes.get(raw_class(text), 0) for text in texts.to_pylist()])
+                words, sizes = _words(texts)
+                found, warm = vocabulary.symbols(words)
+                ends, symbols = np.cumsum(sizes + 1), np.full(len(words) + n, STOP, "<u2")
+                doc = np.repeat(np.arange(n), sizes)
+                symbols[np.arange(len(words)) + doc] = found
+                symbols = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(0, 2 * ends).astype(np.int32)), pa.py_buffer(symbols)])
+                near = np.flatnonzero(warm >= 0)
+                in_doc, met = doc[near], [column[warm[near]] for column in vocabulary.warm] or [warm[near]] * 3
+                full = corpus.log10_rare(cls[in_doc], np.where(cls[in_doc] == met[2], met[1], 0), met[0])
+                known, base, full = np.bincount(in_doc, minlength=n), np.bincount(in_doc, corpus.base(met[0]), n), np.bincount(in_doc, full, n)
+                escaped = np.flatnonzero((found == ESCAPE) & (warm < 0))
+                rare = words.take(pa.array(escaped)).dictionary_encode()
+                keys, times = _grouped(doc[escaped] << 32 | rare.indices.to_numpy().astype(np.int64))
+                others = pa.StructArray.from_arrays([rare.dictionary.take(pa.array(keys & 0xFFFFFFFF)), pa.array(times, pa.int64())], names=["word", "n"])
+                others = pa.ListArray.from_arrays(pa.array(np.searchsorted(keys >> 32, np.arange(n + 1)), pa.int32()), others)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(uid, uid + n)), part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(cls, pa.int32()), pa.array(symbols, pa.binary()), others],
-                    names=["uid", "doc_id", "held", "size", "cls", "symbols", "others"],
+                    [pa.array(np.arange(uid, uid + n)), part.column(0), part.column(1), pc.binary_length(texts).cast(pa.int64()), pa.array(cls, pa.int32()), symbols, pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64()), others],
+                    names=["uid", "doc_id", "held", "size", "cls", "symbols", "known", "base", "full", "others"],
                 )
                 uid += n
 
-    return materialize(lean.select("doc_id", "held", "text").mapInArrow(run, _CODED), "coded", at)
+    coded = materialize(lean.select("doc_id", "held", "text").mapInArrow(run, _CODED), "coded", at)
+    shared.destroy()
+    return coded
 
 
 def _moved(rows: DataFrame, bits_of, mixer, left_out: LeftOut) -> None:
-    """Moves weights and refinement of ``mixer`` by the sums over the bits (slots, bit, depth) that ``bits_of(batches)``
+    """Moves weights and refinement of ``mixer`` by the sums over the bits (slots, bit, depth, times) that ``bits_of(batches)``
     yields in all tasks. A task sends some 10 to 20 kB to the driver."""
     inputs, shared = len(mixer.weights), rows.sparkSession.sparkContext.broadcast(left_out)
 
     def partial(batches):
         own, left_out = Statistics.none(inputs), shared.value
-        for slots, bit, depth in bits_of(batches):
-            left_out.gather(own, slots, bit, depth)
+        for slots, bit, depth, times in bits_of(batches):
+            left_out.gather(own, slots, bit, depth, times)
         yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], names=["data"])
 
     total = Statistics.none(inputs)
@@ -240,7 +289,7 @@ def _moved(rows: DataFrame, bits_of, mixer, left_out: LeftOut) -> None:
     mixer.move(total)
 
 
-def _pieces(batches, most: int = 20_000):
+def _pieces(batches, most: int = 100_000):
     """(symbols, place, class of each token) for runs of the coded documents in ``batches`` (symbols, cls)."""
     held, size = [], 0
 
@@ -294,9 +343,14 @@ def train_words(coded: DataFrame, corpus: Corpus, vocabulary: Vocabulary, sample
 
     def bits_of(batches):
         weights, tree = shared.value
-        model = WordModel(weights, bits, tree)
+        model, held = WordModel(weights, bits, tree), []
         for symbols, place, cls in _pieces(batches):
-            yield model.steps(symbols, model.contexts(symbols, place, cls))[:3]
+            held.append(model.keys(symbols, place, cls))
+            if sum(map(len, held)) >= MOST_KEYS:
+                yield from model.all_bits(held)
+                held = []
+        if held:
+            yield from model.all_bits(held)
 
     _fit(model.mixer, found, coded.select("symbols", "cls"), bits_of)
     shared.destroy()
@@ -317,41 +371,67 @@ def train_spelling(words: DataFrame, n_words: int, sample_words: int) -> Spellin
     """Slot counts and maps over all distinct ``words`` (word, cls); weights and refinement start from a bounded sample,
     picked by hash, and take one Newton step over all."""
     bits = slot_bits(4 * n_words)
+    words = words.select("word", "cls")
 
     def bits_of(batches):
         model = SpellingModel(bits)
         for batch in batches:
             names, cls = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi in runs(names, 20_000):
-                yield model.steps(names[lo:hi], cls[lo:hi])[:3]
+            for lo, hi in runs(names, 500_000):
+                yield from model.all_bits(names[lo:hi], cls[lo:hi])
 
     def learn(batches):
         model = SpellingModel(bits)
         for batch in batches:
             names, cls = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi in runs(names, 100_000):
-                slots, bit, _, _ = model.steps(names[lo:hi], cls[lo:hi])
-                model.mixer.learn(slots, bit)
+            for lo, hi in runs(names, 500_000):
+                for slots, bit, _, times in model.all_bits(names[lo:hi], cls[lo:hi]):
+                    model.mixer.learn(slots, bit, times)
         return model.mixer
 
     model = SpellingModel(bits)
-    _summed(words.select("word", "cls"), learn, model.mixer)
+    _summed(words, learn, model.mixer)
     sample = words.orderBy(F.xxhash64("word"), "word").limit(sample_words).select(F.substring("word", 1, 64).alias("word"), "cls").collect()  # sample_words rows
     names, cls = [bytes(r["word"]) for r in sample], np.array([r["cls"] for r in sample], np.int64)
-    _fit(model.mixer, [model.steps(names[lo:hi], cls[lo:hi])[:3] for lo, hi in runs(names, 50_000)], words.select("word", "cls"), bits_of)
+    _fit(model.mixer, [model.steps(names[lo:hi], cls[lo:hi])[:3] for lo, hi in runs(names, 50_000)], words, bits_of)
     return model
 
 
 # --- scoring ----------------------------------------------------------------------------------------------------
 
-def train(lean: DataFrame, at: str, hot_words: int = 65_000, sample_tokens: int = 60_000, sample_words: int = 6_000):
-    """Corpus, vocabulary, both models, the table (word, count, n_main, cls) of rare words, all learnt from the rows of ``lean``
+def _table(rows: DataFrame) -> pa.Table | None:
+    """The rows as an Arrow table (None: no rows), which reaches the driver in a few packed pieces."""
+
+    def pack(batches):
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["data"])
+
+    found = [pa.ipc.open_stream(bytes(r["data"])).read_all() for r in rows.mapInArrow(pack, "data binary").collect()]
+    return pa.concat_tables(found).combine_chunks() if found else None
+
+
+def _least(rare: DataFrame, most: int) -> int:
+    """The least count that at most ``most`` words reach."""
+    least = (1 << 62) + 1
+    for r in rare.groupBy("count").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("count")).limit(most + 1).collect():  # a row a count
+        most -= r["n"]
+        if most < 0:
+            break
+        least = r["count"]
+    return least
+
+
+def train(lean: DataFrame, at: str, hot_words: int = 65_000, warm_words: int = 131_000, sample_tokens: int = 60_000, sample_words: int = 6_000):
+    """Corpus, vocabulary, both models, the table (word, count, n_main, cls) of rare words but warm ones, all learnt from the rows of ``lean``
     (doc_id, held, text) that are not held out, and all rows coded."""
     counted = lean.where("not held").select("text").mapInArrow(_count_words, "cls int, word binary, n long")
     # one shuffle serves both sums; a task sends each word once for every 300 000 distinct ones, so no key is large
     sums = counted.repartition("word").groupBy("word", "cls").agg(F.sum("n").alias("n"))
     words = sums.groupBy("word").agg(F.sum("n").alias("count"), F.max(F.col("n") * 256 + F.col("cls")).alias("main"))
-    words = materialize(words, "words", at)
+    words = materialize(words.sortWithinPartitions("word"), "words", at)  # words side by side share the most bits
     special = F.substring("word", 1, 1) == F.lit(bytearray(END))
     ends = [(bytes(r["word"])[1], bytes(r["word"]), r["count"]) for r in words.where(special).collect()]  # at most 256 * 256 rows
     classes, docs = group_classes(ends), Counter()
@@ -372,11 +452,12 @@ def train(lean: DataFrame, at: str, hot_words: int = 65_000, sample_tokens: int
     n_rare, n_docs = sum(r["count"] for r in by.values()), sum(docs.values())
     in_class = [by[c]["n"] if c in by else 0 for c in range(CLASSES)]
     corpus = Corpus(n + n_docs, v + (n_docs > 0), classes, [docs[c] for c in range(CLASSES)], n_rare, in_class, once, max(n_rare - once, 2 * twice))
-    vocabulary = Vocabulary(hot, n_docs, n_rare)
+    least = _least(rare, warm_words)
+    vocabulary = Vocabulary(hot, n_docs, n_rare, _table(rare.where(F.col("count") >= least).select("word", "count", "n_main", "cls")))  # warm_words rows
     coded = code_texts(lean, corpus, vocabulary, at)
     model = train_words(coded.where("not held"), corpus, vocabulary, sample_tokens)
     spelling = train_spelling(rare, v, sample_words)
-    return corpus, vocabulary, model, spelling, rare, coded
+    return corpus, vocabulary, model, spelling, rare.where(F.col("count") < least), coded
 
 
 def score(docs: DataFrame, held_out, **how) -> DataFrame:
@@ -405,13 +486,14 @@ def score(docs: DataFrame, held_out, **how) -> DataFrame:
                 coded = model.log10(documents) + [corpus.log10_class(c) for c in cls]
                 sizes = np.array([len(s) for s, _ in documents], np.int64)
                 escapes = np.array([np.count_nonzero(s == ESCAPE) for s, _ in documents], np.int64)
-                base = np.array([base_of[s].sum() for s, _ in documents])
-                known = sizes - escapes - int(not counts[STOP])
+                base = np.array([base_of[s].sum() for s, _ in documents]) + part.column(7).to_numpy()
+                coded += part.column(8).to_numpy()
+                known = sizes - escapes - int(not counts[STOP]) + part.column(6).to_numpy()
                 more = [pa.array(x) for x in (sizes, known, base, coded)]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), *more], names=["uid", "doc_id", "held", "size", "n_tokens", "n_known", "base", "full"])
 
     sums = "n_tokens long, n_known long, base double, full double"
-    whole = coded.select("uid", "doc_id", "held", "size", "cls", "symbols").mapInArrow(mixed, f"uid long, doc_id long, held boolean, size long, {sums}")
+    whole = coded.select("uid", "doc_id", "held", "size", "cls", "symbols", "known", "base", "full").mapInArrow(mixed, f"uid long, doc_id long, held boolean, size long, {sums}")
     # the rare words of a partition are far fewer than the rows that meet them, which need no order
     met = coded.select("uid", "cls", F.explode("others").alias("x")).select("uid", "cls", "x.word", "x.n").join(rare.withColumnRenamed("cls", "main").hint("shuffle_hash"), "word", "left")
     in_class = F.when(F.col("cls") == F.col("main"), F.col("n_main")).otherwise(0)  # of the class that has most of a word

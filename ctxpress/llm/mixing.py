@@ -37,10 +37,10 @@ def slot_bits(n: int, least: int = 14, most: int = 20) -> int:
 
 
 def hashed(contexts: list[np.ndarray], node: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Slots of (context, node) for each of several contexts."""
+    """Slots of (context, node) for each of several contexts, in place of them."""
     spread, out = node.astype(np.uint64) * _U(0x9E3779B97F4A7C15), []
     for c in contexts:
-        c = c ^ spread
+        c ^= spread
         c *= _U(0xD1B54A32D192ED03)
         c >>= _U(64 - bits)
         out.append(c.view(np.int64))
@@ -51,6 +51,19 @@ def _direct(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4)))
 
 
+def _packed(table: np.ndarray, sightings: np.ndarray) -> np.ndarray:
+    """Predictions (of 16 bits' precision) with the sightings in their last two bits: one look-up gives both."""
+    return (table.view(np.uint32) | sightings).view(np.float32)
+
+
+def _unpacked(x: np.ndarray) -> np.ndarray:
+    """The sightings in ``x``, which keeps the predictions alone."""
+    raw = x.view(np.uint32)
+    seen = raw & np.uint32(3)
+    raw -= seen
+    return seen.astype(np.int64)
+
+
 @dataclass
 class Mixer:
     """``sizes``: slots of each predictor; ``known``: the predictor whose number of sightings gates the weights."""
@@ -63,6 +76,7 @@ class Mixer:
     refine: np.ndarray | None = None
     tables: list[np.ndarray] = field(default_factory=list, repr=False)
     sightings: np.ndarray | None = None
+    packed: np.ndarray | None = field(default=None, repr=False)
 
     def __post_init__(self):
         p = len(self.sizes)
@@ -76,10 +90,11 @@ class Mixer:
         if self.refine is None:
             self.refine = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, BUCKETS))), (ROWS, 1)).astype(np.float32)
 
-    def learn(self, slots: list[np.ndarray], bit: np.ndarray) -> None:
-        """Adds each bit to its slots."""
+    def learn(self, slots: list[np.ndarray], bit: np.ndarray, times: np.ndarray | int = 1) -> None:
+        """Adds each bit to its slots, so many ``times``."""
+        times = np.broadcast_to(np.asarray(times, np.int32), bit.shape)
         for own, slot in zip(self.counts, slots, strict=True):
-            own += np.bincount(slot * 2 + bit, minlength=len(own)).astype(np.int32)
+            np.add.at(own, slot * 2 + bit, times)
 
     def _stretched(self, p: int, n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
         cell = _LEVEL.take(np.minimum(n0, _SMALL)) * _N + _LEVEL.take(np.minimum(n1, _SMALL))
@@ -101,7 +116,7 @@ class Mixer:
     def __getstate__(self) -> dict:
         """Small when pickled: what is broadcast is written to the disks of all executors."""
         packed = [(zlib.compress(t.astype(np.float16).tobytes(), 1), len(t)) for t in self.tables]
-        return self.__dict__ | {"tables": packed, "counts": [zlib.compress(c.tobytes(), 1) for c in self.counts]}
+        return self.__dict__ | {"tables": packed, "packed": None, "counts": [zlib.compress(c.tobytes(), 1) for c in self.counts]}
 
     def __setstate__(self, state: dict) -> None:
         tables = [np.frombuffer(zlib.decompress(t), np.float16).astype(np.float32) for t, _ in state["tables"]]
@@ -110,10 +125,12 @@ class Mixer:
     def inputs(self, slots: list[np.ndarray], depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Stretched predictions with a constant, and the gate of each bit; ``depth`` from 0 to 7."""
         x = np.empty((len(slots) + 1, len(depth)), np.float32)
+        if self.packed is None:
+            self.packed = _packed(self.tables[self.known], self.sightings)
         for p, slot in enumerate(slots):
-            np.take(self.tables[p], slot, out=x[p], mode="clip")
+            np.take(self.packed if p == self.known else self.tables[p], slot, out=x[p], mode="clip")
         x[-1] = 0.3
-        return x, depth * 4 + self.sightings.take(slots[self.known])
+        return x, depth * 4 + _unpacked(x[self.known])
 
     def left_out(self) -> LeftOut:
         """What each counted bit finds once what it added itself is taken off, by slot * 2 + bit, after the maps of small
@@ -152,9 +169,10 @@ class Mixer:
             self.code(x, bit, gate, row, cuts, weights, refine, rate=0.02, pace=0.02)
         return left_out
 
-    def code(self, x, bit, gate, row, cuts, weights, refine, rate: float, pace: float) -> np.ndarray:
+    def code(self, x, bit, gate, row, cuts, weights, refine, rate: float, pace: float, last: bool = False) -> np.ndarray:
         """log10 probability of each bit; ``weights`` (inputs, gates) and ``refine`` (rows, buckets) learn in place after
-        each block of bits between two ``cuts`` (they may hold many streams, if gate and row count through them)."""
+        each block of bits between two ``cuts`` (they may hold many streams, if gate and row count through them), but not
+        from the ``last`` block, after which nothing is coded."""
         out, flat = np.empty(len(bit), np.float32), refine.reshape(-1)
         n_gates, n_cells = weights.shape[1], flat.size
         for a, b in zip(cuts, cuts[1:]):
@@ -168,12 +186,12 @@ class Mixer:
             p = 1 / (1 + np.exp(-z))
             at = (z + np.float32(8)) * np.float32((BUCKETS - 1) / 16)
             lo = at.astype(np.int64)
-            part = (at - lo).astype(np.float32)
+            part = at - np.floor(at)
             cell = row[a:b] * BUCKETS + lo
             refined = flat.take(cell) * (1 - part) + flat.take(cell + 1) * part
             final = np.clip((p + refined) / 2, 1e-6, 1 - 1e-6)
-            out[a:b] = np.log(np.where(ys, final, 1 - final))
-            if rate:
+            np.log(np.abs(final - (1 - ys).astype(np.float32)), out=out[a:b])
+            if rate and (b < cuts[-1] or not last):
                 miss = ys - p
                 scale = rate / np.sqrt(np.maximum(np.bincount(g, minlength=n_gates), 1))
                 for i in range(len(xs)):
@@ -220,10 +238,11 @@ class LeftOut:
     tables: list[np.ndarray]
     sightings: np.ndarray
     weights: np.ndarray
+    packed: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
         packed = [zlib.compress(t.astype(np.float16).tobytes(), 1) for t in self.tables]
-        return self.__dict__ | {"tables": packed, "sightings": zlib.compress(self.sightings.tobytes(), 1)}
+        return self.__dict__ | {"tables": packed, "packed": None, "sightings": zlib.compress(self.sightings.tobytes(), 1)}
 
     def __setstate__(self, state: dict) -> None:
         tables = [np.frombuffer(zlib.decompress(t), np.float16).astype(np.float32) for t in state["tables"]]
@@ -232,31 +251,62 @@ class LeftOut:
     def inputs(self, slots: list[np.ndarray], bit: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Like those of a sealed :class:`Mixer`."""
         x = np.empty((len(slots) + 1, len(depth)), np.float32)
+        if self.packed is None:
+            self.packed = _packed(self.tables[self.known], self.sightings)
         for p, slot in enumerate(slots):
             at = slot * 2
             at += bit
-            np.take(self.tables[p], at, out=x[p], mode="clip")
-            if p == self.known:
-                seen = self.sightings.take(at)
+            np.take(self.packed if p == self.known else self.tables[p], at, out=x[p], mode="clip")
         x[-1] = 0.3
-        return x, depth * 4 + seen
+        return x, depth * 4 + _unpacked(x[self.known])
 
-    def gather(self, into: Statistics, slots: list[np.ndarray], bit: np.ndarray, depth: np.ndarray) -> None:
-        """Adds the statistics of the bits. The row of the refinement hangs on the depth, so on the gate."""
+    def gather(self, into: Statistics, slots: list[np.ndarray], bit: np.ndarray, depth: np.ndarray, times: np.ndarray | None = None) -> None:
+        """Adds the statistics of the bits, each so many ``times`` (once). The row of the refinement hangs on the depth, so
+        on the gate."""
         x, gate = self.inputs(slots, bit, depth)
         order = np.argsort(gate.astype(np.uint8), kind="stable")
         x, y, ends = x.take(order, axis=1), bit.take(order).astype(np.float32), np.cumsum(np.bincount(gate, minlength=GATES))
+        n = np.ones(len(y), np.float32) if times is None else times.take(order).astype(np.float32)
         for g, (a, b) in enumerate(zip([0, *ends], ends)):
             if a == b:
                 continue
-            xs, ys = x[:, a:b], y[a:b]
+            xs, ys, ns = x[:, a:b], y[a:b], n[a:b]
             z = np.clip(self.weights[:, g] @ xs, -7.999, 7.999)
             p = 1 / (1 + np.exp(-z))
-            into.slope[g] += xs @ (ys - p)
-            into.curve[g] += (xs * (p * (1 - p))) @ xs.T
+            into.slope[g] += xs @ (ns * (ys - p))
+            into.curve[g] += (xs * (ns * p * (1 - p))) @ xs.T
             cell = np.rint((z + 8) * ((BUCKETS - 1) / 16)).astype(np.int64)
-            into.hits[g >> 3] += np.bincount(cell, minlength=BUCKETS)
-            into.ones[g >> 3] += np.bincount(cell, ys, BUCKETS)
+            into.hits[g >> 3] += np.bincount(cell, ns, BUCKETS)
+            into.ones[g >> 3] += np.bincount(cell, ns * ys, BUCKETS)
+
+
+def distinct(shared: np.ndarray, length: np.ndarray, times: np.ndarray, start: np.ndarray, deep: int = 64, most: int = 50_000):
+    """Of paths in sorted order, each with its ``length``, its first ``shared`` bits as in the path before and so many
+    ``times``: (path, place, times) of every bit once, in runs of about ``most`` bits; the place is ``start`` of the path and
+    the bit's depth. A bit that several paths run through is one with the sum of their times; from ``deep`` on, which
+    ``shared`` does not exceed, each path has its own."""
+    new = np.maximum(length - shared, 0)
+    ends = np.cumsum(new)
+    base = ends - new - shared  # the bit of a path at a depth is at base + depth
+    sums, total = np.repeat(times.astype(np.int32), new), np.concatenate([[0], np.cumsum(times)])
+    shared = np.append(shared, 0).astype(np.min_scalar_type(deep))
+    for d in range(int(shared.max())):  # deeper, no two paths run together
+        fresh = shared <= d
+        turns = np.flatnonzero(fresh[1:] != fresh[:-1])  # a path that the next ones go with, then the last of these
+        sums[base.take(turns[::2]) + d] = total.take(turns[1::2] + 1) - total.take(turns[::2])
+    offset, lo = start - base, 0
+    while lo < len(new):
+        begin = int(ends[lo] - new[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, begin + most)))
+        path, end = np.repeat(np.arange(lo, hi), new[lo:hi]), int(ends[hi - 1])
+        yield path, np.arange(begin, end) + offset.take(path), sums[begin:end]
+        lo = hi
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Leading binary digits that unsigned 64-bit numbers have in common."""
+    x = a ^ b
+    return 64 - np.frexp((x & ~(x >> _U(1))).astype(np.float64))[1].astype(np.int64)  # no digit behind the first: no rounding up
 
 
 class Tree:
@@ -286,6 +336,18 @@ class Tree:
             at = self.start[own] + self.length[own] - 1 - k
             self.nodes[at], self.bits[at] = node[own], bit[own]
         self.n_nodes = max(1, n - 1)
+        self.depths = np.minimum(np.arange(len(self.nodes)) - np.repeat(self.start, self.length), 7).astype(np.uint8)
+        self.code = np.zeros(n, np.uint64)  # the path's bits from the highest digit on: 64 are enough below 2**44 tokens
+        for d in range(len(steps)):
+            own = np.flatnonzero(self.length > d)
+            self.code[own] |= self.bits[self.start[own] + d].astype(np.uint64) << _U(63 - d)
+        self.leaves = np.argsort(self.code, kind="stable")  # symbols by path
+        self.rank = np.empty(n, np.int64)
+        self.rank[self.leaves] = np.arange(n)
+
+
+MOST_KEYS = 1 << 22  # tokens whose equal bits are found at a time
+DIGITS = {"cls": 6, "before": 17, "place": 6}  # binary digits that a value of each context takes
 
 
 class WordModel:
@@ -295,11 +357,14 @@ class WordModel:
     def __init__(self, weights: list[int], bits: int, tree: Tree | None = None):
         self.weights, self.tree, self.bits, self.n = weights, tree or Tree(weights), bits, len(weights)
         self.mixer = Mixer((self.tree.n_nodes, *[1 << bits] * 3), known=2)
+        self.pending: list[np.ndarray] = []
 
     def contexts(self, symbols: np.ndarray, place: np.ndarray, cls: np.ndarray) -> list[np.ndarray]:
         """The hashed contexts of each token; ``place`` counts from 0 in each document."""
-        before = np.where(place > 0, np.concatenate([[self.n], symbols[:-1]]), self.n)
-        return [self._of(0, cls), self._of(1, before), self._of(2, _log2(place))]
+        return [self._of(0, cls), self._of(1, self._before(symbols, place)), self._of(2, _log2(place))]
+
+    def _before(self, symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return np.where(place > 0, np.concatenate([[self.n], symbols[:-1]]), self.n)
 
     @staticmethod
     def _of(k: int, value: np.ndarray) -> np.ndarray:
@@ -307,33 +372,73 @@ class WordModel:
 
     def steps(self, symbols: np.ndarray, contexts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """slots (those without context first), bit, depth of every bit of the tokens in their order; bits of each token."""
-        lengths = self.tree.length[symbols]
-        begins = np.cumsum(lengths) - lengths
-        within = np.arange(int(lengths.sum())) - np.repeat(begins, lengths)
-        at = np.repeat(self.tree.start[symbols], lengths) + within
+        lengths = self.tree.length.take(symbols)
+        token = np.repeat(np.arange(len(symbols)), lengths)
+        at = (self.tree.start.take(symbols) - (np.cumsum(lengths) - lengths)).take(token)
+        at += np.arange(len(at))
         node = self.tree.nodes.take(at)
-        slots = [node.astype(np.int64), *hashed([np.repeat(c, lengths) for c in contexts], node, self.bits)]
-        return slots, self.tree.bits.take(at), np.minimum(within, 7), lengths
+        slots = [node.astype(np.int64), *hashed([c.take(token) for c in contexts], node, self.bits)]
+        return slots, self.tree.bits.take(at), self.tree.depths.take(at).astype(np.int64), lengths
+
+    def key(self, symbols: np.ndarray, **values: np.ndarray) -> np.ndarray:
+        """A number for each token of its values of some contexts (see ``DIGITS``, in that order) and its path."""
+        key = np.zeros(len(symbols), np.uint64)
+        for name, value in values.items():
+            key = key << _U(DIGITS[name]) | value.astype(np.uint64)
+        return key << _U(17) | self.tree.rank.take(symbols).astype(np.uint64)
+
+    def keys(self, symbols: np.ndarray, place: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        return self.key(symbols, cls=cls, before=self._before(symbols, place), place=_log2(place))
+
+    def all_bits(self, keys: list[np.ndarray], names: tuple[str, ...] = ("cls", "before", "place"), most: int = 200_000):
+        """slots, bit, depth and times of the bits of the tokens with these ``keys``, made of the contexts ``names``: a bit
+        that is the same in several tokens comes once, as far as ``most`` distinct tokens next to each other go."""
+        keys = np.concatenate(keys)
+        keys.sort()
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        times, keys = np.diff(first, append=len(keys)), keys.take(first)
+        for lo in range(0, len(keys), most):
+            yield from self._bits(keys[lo : lo + most], times[lo : lo + most], names)
+
+    def _bits(self, key: np.ndarray, times: np.ndarray, names: tuple[str, ...]):
+        own = self.tree.leaves.take((key & _U(0x1FFFF)).astype(np.int64))
+        code, key = self.tree.code.take(own), key >> _U(17)
+        shared = np.zeros(len(own), np.int64)
+        shared[1:] = np.where(key[1:] == key[:-1], _common(code[1:], code[:-1]), 0)
+        contexts = []
+        for name in names[::-1]:
+            contexts.insert(0, self._of(list(DIGITS).index(name), key & _U((1 << DIGITS[name]) - 1)))
+            key = key >> _U(DIGITS[name])
+        for path, at, sums in distinct(shared, self.tree.length.take(own), times, self.tree.start.take(own)):
+            node = self.tree.nodes.take(at)
+            slots = [node.astype(np.int64), *hashed([c.take(path) for c in contexts], node, self.bits)]
+            yield slots, self.tree.bits.take(at), self.tree.depths.take(at).astype(np.int64), sums
 
     def tally(self) -> np.ndarray:
         """Room for the numbers of (class, symbol) and (place, symbol)."""
         return np.zeros((2, 64, self.n), np.int32)
 
     def learn(self, tally: np.ndarray, symbols: np.ndarray, place: np.ndarray, cls: np.ndarray) -> None:
-        """Counts the tokens: those after a word bit by bit, the other contexts in ``tally`` (see ``settle``)."""
+        """Counts the tokens: the words before them by their keys, the other contexts in ``tally`` (see ``settle``)."""
         for own, value in zip(tally, (cls, _log2(place)), strict=True):
             np.add.at(own.reshape(-1), value * self.n + symbols, np.int32(1))
-        slots, bit, _, _ = self.steps(symbols, self.contexts(symbols, place, cls)[1:2])
-        np.add.at(self.mixer.counts[2], slots[1] * 2 + bit, np.int32(1))
+        self.pending.append(self.key(symbols, before=self._before(symbols, place)))
+        if sum(map(len, self.pending)) >= MOST_KEYS:
+            self._count()
+
+    def _count(self) -> None:
+        for slots, bit, _, times in self.all_bits(self.pending, ("before",)) if self.pending else ():
+            np.add.at(self.mixer.counts[2], slots[1] * 2 + bit, times)
+        self.pending = []
 
     def settle(self, tally: np.ndarray) -> None:
         """Adds what was tallied to the counts."""
-        for k, rows in ((0, tally[0]), (2, tally[1])):
-            for value, row in enumerate(rows):
-                symbols = np.flatnonzero(row)
-                if len(symbols):
-                    slots, bit, _, lengths = self.steps(symbols, [self._of(k, np.full(len(symbols), value))])
-                    times = np.repeat(row[symbols], lengths)
+        self._count()
+        for k, name, rows in ((0, "cls", tally[0]), (2, "place", tally[1])):
+            for value in np.flatnonzero(rows.any(axis=1)):
+                row = rows[value].take(self.tree.leaves)
+                own = np.flatnonzero(row)
+                for slots, bit, _, times in self._bits((value << 17 | own).astype(np.uint64), row.take(own), (name,)):
                     np.add.at(self.mixer.counts[k + 1], slots[1] * 2 + bit, times)
                     if k == 0:
                         np.add.at(self.mixer.counts[0], slots[0] * 2 + bit, times)
@@ -363,16 +468,18 @@ class WordModel:
         out = np.zeros(d)
         for a in range(0, len(order), most):  # one longer document: piece by piece
             own = order[a : a + most]
-            slots, bit, depth, lengths = self.steps(symbols[own], [c[own] for c in contexts])
+            slots, bit, depth, lengths = self.steps(symbols.take(own), [c.take(own) for c in contexts])
             x, gate = self.mixer.inputs(slots, depth)
-            stream, turn = np.repeat(doc[own], lengths), place[own] // block
+            stream, turn = doc.take(own), place.take(own) // block
             ends = np.cumsum(lengths)
             cuts = [0, *ends[np.flatnonzero(np.diff(turn))].tolist(), len(bit)]
-            gate += stream * GATES
+            shift = np.repeat(stream * ROWS, lengths)
             depth >>= 1
-            depth += stream * ROWS
-            cost = self.mixer.code(x, bit, gate, depth, cuts, weights, refine, rate=0.01, pace=0.005)
-            out += np.bincount(stream, cost, d)
+            depth += shift
+            shift *= GATES // ROWS
+            gate += shift
+            cost = self.mixer.code(x, bit, gate, depth, cuts, weights, refine, rate=0.01, pace=0.005, last=a + most >= len(order))
+            out += np.bincount(stream, np.add.reduceat(cost, ends - lengths, dtype=np.float64), d)  # each symbol has a bit at least
         return out
 
 
@@ -394,11 +501,39 @@ class SpellingModel:
 
     def steps(self, words: list[bytes], cls: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """slots, bit, depth and word of every bit, byte by byte."""
+        raw, lengths, place, word = self._bytes(words)
+        each = np.arange(8 * len(raw))
+        return *self._at(raw, place, self._contexts(raw, place, word, cls), each), word.take(each >> 3)
+
+    def all_bits(self, words: list[bytes], cls: np.ndarray):
+        """Every distinct bit of the words: slots, bit, depth, times. Words of a class that begin alike share those bits, up
+        to 32 bytes."""
+        raw, lengths, place, word = self._bytes(words)
+        head = np.zeros((len(words), 32), np.uint8)
+        near = np.flatnonzero(place < 32)
+        head[word.take(near), place.take(near)] = raw.take(near)
+        heads = head.view(">u8").astype(np.uint64).T
+        order = np.lexsort((*heads[::-1], cls))
+        shared, open_ = np.zeros(len(words), np.int64), cls.take(order)[1:] == cls.take(order)[:-1]
+        for column in heads:
+            same = _common(column.take(order)[1:], column.take(order)[:-1])
+            shared[1:] += np.where(open_, same, 0)
+            open_ &= same == 64
+        begin, contexts = (np.cumsum(lengths) - lengths).take(order) * 8, self._contexts(raw, place, word, cls)
+        for _, at, times in distinct(shared, 8 * lengths.take(order), np.ones(len(words), np.int64), begin, deep=256):
+            yield *self._at(raw, place, contexts, at), times
+
+    @staticmethod
+    def _bytes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes to code, how many a word has, and place and word of each."""
         coded = [w + b" " for w in words]
         lengths = np.fromiter(map(len, coded), np.int64, len(coded))
         raw = np.frombuffer(b"".join(coded), np.uint8)
         place = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        word = np.repeat(np.arange(len(coded)), lengths)
+        return raw, lengths, place, np.repeat(np.arange(len(coded)), lengths)
+
+    @staticmethod
+    def _contexts(raw: np.ndarray, place: np.ndarray, word: np.ndarray, cls: np.ndarray) -> np.ndarray:
         ctx, h = np.zeros((SPELL, len(raw)), np.uint64), np.zeros(len(raw), np.uint64)
         for k in range(1, 5):
             before = np.zeros(len(raw), np.uint64)
@@ -409,13 +544,14 @@ class SpellingModel:
         total = np.concatenate([[_U(0)], np.cumsum(mix(raw.astype(np.uint64) + (place.astype(np.uint64) << _U(8))))])
         ctx[5] = total[:-1] - total[np.arange(len(raw)) - place]
         ctx[6] = ctx[2] + (cls.astype(np.uint64)[word] << _U(32))
-        ctx = mix(ctx + (np.arange(SPELL, dtype=np.uint64) << _U(56))[:, None])
-        shifts = np.arange(7, -1, -1)
-        bits = (raw[:, None] >> shifts.astype(np.uint8)) & np.uint8(1)
-        node = (raw.astype(np.int64)[:, None] | 256) >> (shifts + 1)  # the bits before, with a leading one
-        node, each = node.reshape(-1), np.repeat(np.arange(len(raw)), 8)
-        slots = hashed([c[each] for c in ctx], node, self.bits)
-        return slots, bits.reshape(-1), np.repeat(np.minimum(place, 7), 8), np.repeat(word, 8)
+        return mix(ctx + (np.arange(SPELL, dtype=np.uint64) << _U(56))[:, None])
+
+    def _at(self, raw: np.ndarray, place: np.ndarray, contexts: np.ndarray, each: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """slots, bit, depth of the bits with the numbers ``each``, eight a byte."""
+        byte, shift = each >> 3, 7 - (each & 7)
+        code = raw.take(byte).astype(np.int64)
+        slots = hashed([c.take(byte) for c in contexts], (code | 256) >> (shift + 1), self.bits)  # the bits before, with a leading one
+        return slots, (code >> shift & 1).astype(np.uint8), np.minimum(place.take(byte), 7)
 
     def log10(self, words: list[bytes], cls: np.ndarray, most: int = 20_000) -> np.ndarray:
         """log10 probability of each word's spelling in a document of class ``cls``."""

@@ -148,3 +148,55 @@ def test_statistics_are_sums_over_bits():
         left_out.gather(found, slots, bit, depth)
         sums.append(np.abs(found.slope).sum())
     assert sums[1] < 0.5 * sums[0] and sums[-1] < 0.01 * sums[0]
+
+
+def test_sums_take_equal_bits_once():
+    """Bits that tokens or words share are looked up once, and the counts are those of every bit."""
+    rng = np.random.default_rng(7)
+    symbols, place, cls = np.append(rng.zipf(1.3, 4000).clip(2, 39), 1), np.arange(4001), np.zeros(4001, np.int64)
+    model = WordModel([5, 6, *range(60, 22, -1)], 14)
+    words = sorted({bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in rng.integers(1, 50, 900)})
+    classes, spelling = rng.integers(0, 2, len(words)), SpellingModel(14)
+    for every, once, sizes in (
+        (model.steps(symbols, model.contexts(symbols, place, cls)), list(model.all_bits([model.keys(symbols, place, cls)])), model.mixer.sizes),
+        (spelling.steps(words, classes), list(spelling.all_bits(words, classes)), spelling.mixer.sizes),
+    ):
+        assert sum(len(bit) for _, bit, _, _ in once) < 0.9 * len(every[1])
+        assert sum(int(times.sum()) for *_, times in once) == len(every[1])
+        for p, n in enumerate(sizes):
+            counts = np.zeros(2 * n, np.int64)
+            for slots, bit, _, times in once:
+                np.add.at(counts, slots[p] * 2 + bit, times)
+            assert np.array_equal(counts, np.bincount(every[0][p] * 2 + every[1], minlength=2 * n))
+
+
+def test_words_and_symbols_of_texts():
+    """Words are cut and counted by Arrow as ``tokens`` cuts them."""
+    import pyarrow as pa
+
+    from ctxpress.llm.context_mixing import ESCAPE, Vocabulary, _count_words, _words, raw_class, tokens
+
+    texts = ["", " ", " a  B\x0b\x1cc\x85 d ", "É é É", "\x00a \x00 a", "Ab\u3000c İ\n"]
+    words, sizes = _words(pa.array(texts))
+    assert sizes.tolist() == [len(tokens(t)) for t in texts] and words.to_pylist() == [w for t in texts for w in tokens(t)]
+    warm = pa.table({"word": pa.array([b"b"]), "count": [1], "n_main": [1], "cls": [0]})
+    symbols, rows = Vocabulary([(b"a", 3), (b"d", 1)], 6, 9, warm).symbols(words)
+    assert symbols.tolist() == [{b"a": 2, b"d": 3}.get(w, ESCAPE) for w in words.to_pylist()]
+    assert rows.tolist() == [0 if w == b"b" else -1 for w in words.to_pylist()]
+    rows = [r for most in (2, 100) for b in _count_words(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]), most) for r in b.to_pylist()]
+    for word in set(words.to_pylist()):
+        for cls in {raw_class(t) for t in texts}:
+            own = sum(tokens(t).count(word) for t in texts if raw_class(t) == cls)
+            assert sum(r["n"] for r in rows if (r["word"], r["cls"]) == (word, cls)) == 2 * own
+
+
+def test_looked_up_words_score_as_joined_ones(spark):
+    """Whether a rare word meets its counts in a broadcast table or in the join, the scores are the same."""
+    from ctxpress.llm.common import fold, read
+    from ctxpress.llm.context_mixing import score
+
+    docs = read(spark, "/root/testdata/sf0.001", "documents")
+    joined, looked = ({r["doc_id"]: r for r in score(docs, fold(7) == 2, hot_words=500, warm_words=n).collect()} for n in (0, 1_000))
+    for k, r in joined.items():
+        assert (looked[k]["n_tokens"], looked[k]["n_known"]) == (r["n_tokens"], r["n_known"])
+        assert (looked[k]["base_score"], looked[k]["score"]) == pytest.approx((r["base_score"], r["score"]), rel=1e-9)
