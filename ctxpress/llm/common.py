@@ -28,6 +28,21 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             discard(spark, path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written inside removes its shuffle files when it ends; else they stay until the driver collects its garbage.
+
+    For steps that are executed once: a second run of the same DataFrame object would make its shuffles anew.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared one the cluster names in ``spark.checkpoint.dir``.
 

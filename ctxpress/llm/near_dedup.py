@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxpress.llm.common import few, materialize, partitions, read, work_dir
+from ctxpress.llm.common import few, materialize, partitions, read, shuffles_removed, temporary, work_dir
 from ctxpress.llm.components import connected
 from ctxpress.llm.shingles import mix, shingles, text_runs, weighted, weighted_set
 
@@ -294,14 +294,23 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 25, r
 
 
 def near_dedup_filter(docs: DataFrame, **how) -> DataFrame:
-    """One row of each group of ``docs`` (the least doc_id; of equal rows one), with its own columns."""
-    groups = near_duplicates(docs, **how)
-    kept = groups.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("r"))
-    kept = kept.select(F.col("r.doc_id").alias("__ctx_id"), F.col("r.node").alias("__ctx_node"))
+    """One row of each group of ``docs`` (the least doc_id; of equal rows one), with its own columns.
+
+    Only the list of kept rows is left of the groups' tables and shuffles when whole rows are moved. They are dealt once, by
+    id and text: a kept text has one kept id, so equal rows that are left meet there too.
+    """
+    spark = docs.sparkSession
+    at = work_dir(spark)
+    with temporary(spark), shuffles_removed(spark):
+        groups = near_duplicates(docs, **how)
+        kept = groups.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("r"))
+        kept = materialize(kept.select("r.doc_id", "r.node"), "kept", at, few(spark))
+    key = ["__ctx_id", "__ctx_null", "__ctx_node"]  # without nulls, as plain columns: the join and the last step share one exchange
+    number = lambda c: (F.coalesce(c, F.lit(0)).alias(key[0]), c.isNull().alias(key[1]))
     node = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    marked = docs.withColumn("__ctx_n", node)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__ctx_id")) & (F.col("__ctx_n") == F.col("__ctx_node"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["__ctx_n"]).drop("__ctx_n")
+    marked = docs.select("*", *number(F.col("doc_id").cast("long")), node.alias(key[2]))
+    kept = kept.select(*number(F.col("doc_id")), F.col("node").alias(key[2]))
+    return marked.join(kept, key, "left_semi").dropDuplicates(key).drop(*key)
 
 
 def op7_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
