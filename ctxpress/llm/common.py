@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -113,6 +115,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def giving_back(run):
+    """``run(batches)`` of an Arrow function, after which freed memory goes back to the system.
+
+    Python workers live on between tasks beside the executor's JVM; what their allocators keep counts as its memory.
+    """
+
+    @functools.wraps(run)
+    def task(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+            if trim:
+                trim(0)
+
+    return task
+
+
 def append_columns(df: DataFrame, fields: str, make, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``df`` with more columns behind them.
 

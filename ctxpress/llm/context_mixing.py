@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ctxpress.llm.common import fold, materialize, partitions, read, work_dir
+from ctxpress.llm.common import fold, giving_back, materialize, partitions, read, work_dir
 from ctxpress.llm.mixing import MOST_KEYS, LeftOut, SpellingModel, Statistics, WordModel, runs, slot_bits
 
 END = b"\n"
@@ -68,26 +68,30 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.cast(pa.binary()), sizes
 
 
-def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ones of some keys, sorted, and how many there are of each."""
-    keys = np.sort(keys)
+def _grouped(keys: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of some keys, sorted, and how many there are of each, or the sum of their ``times``."""
+    order = None if times is None else np.argsort(keys, kind="stable")
+    keys = np.sort(keys) if order is None else keys.take(order)
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-    return keys[first], np.diff(first, append=len(keys))
+    return keys[first], np.diff(first, append=len(keys)) if order is None else np.add.reduceat(times.take(order), first)
 
 
 def _count_words(batches, most: int = 1 << 21):
     """Rows (raw class, word, n), summed over about ``most`` words of a task at a time. In place of a word, END and the
-    class count its texts, and END, the class and a character bucket which characters they hold."""
-    held, classes, special = [], [], Counter()
+    class count its texts, and END, the class and a character bucket which characters they hold. What is held meanwhile are
+    the distinct words of every 1000 texts, not the words."""
+    held, special, size = [], Counter(), 0  # of 1000 texts: words, keys (class, word), times
 
     def out():
-        coded = pa.chunked_array(held, pa.binary()).combine_chunks().dictionary_encode()
-        keys, times = _grouped(np.concatenate(classes) << 32 | coded.indices.to_numpy().astype(np.int64))
+        coded = pa.concat_arrays([words for words, _, _ in held]).dictionary_encode()
+        index, starts = coded.indices.to_numpy().astype(np.int64), np.cumsum([0, *(len(words) for words, _, _ in held)])
+        keys = np.concatenate([keys >> 32 << 32 | index.take((keys & 0xFFFFFFFF) + lo) for (_, keys, _), lo in zip(held, starts)])
+        keys, times = _grouped(keys, np.concatenate([times for _, _, times in held]))
         words = coded.dictionary.take(pa.array(keys & 0xFFFFFFFF))
         names = pa.concat_arrays([pa.array([w for _, w in special], pa.binary()), words])
         cls = np.concatenate([np.array([c for c, _ in special], np.int64), keys >> 32])
         n = np.concatenate([np.array(list(special.values()), np.int64), times])
-        held.clear(), classes.clear(), special.clear()
+        held.clear(), special.clear()
         return pa.RecordBatch.from_arrays([pa.array(cls, pa.int32()), names, pa.array(n, pa.int64())], schema=_COUNT)
 
     for batch in batches:
@@ -103,10 +107,12 @@ def _count_words(batches, most: int = 1 << 21):
                     for c, n in Counter(other).items():
                         special[cls, END + bytes([cls, zlib.crc32(c.encode("utf-8")) % 255])] += n
             words, sizes = _words(texts)
-            held.append(words)
-            classes.append(np.repeat(np.array(own, np.int64), sizes))
-            if sum(map(len, held)) >= most:
+            coded = words.dictionary_encode()
+            held.append((coded.dictionary, *_grouped(np.repeat(np.array(own, np.int64), sizes) << 32 | coded.indices.to_numpy().astype(np.int64))))
+            size += len(words)
+            if size >= most:
                 yield out()
+                size = 0
     if held:
         yield out()
 
@@ -212,7 +218,7 @@ def _summed(rows: DataFrame, learn, mixer) -> None:
         yield from rows_of(sums.items())
 
     kinds = "part int, n int, data binary"
-    done = rows.mapInArrow(partial, kinds).repartition(partitions(spark), "part").mapInArrow(total, kinds)
+    done = rows.mapInArrow(giving_back(partial), kinds).repartition(partitions(spark), "part").mapInArrow(total, kinds)
     for r in done.collect():
         p, k = r["part"] >> 16, (r["part"] & 0xFFFF) * _PART
         mixer.counts[p][k : k + r["n"]] = row_of(r["n"], bytes(r["data"]))
@@ -221,7 +227,7 @@ def _summed(rows: DataFrame, learn, mixer) -> None:
 _CODED = "uid long, doc_id long, held boolean, size long, cls int, symbols binary, known long, base double, full double, others array<struct<word:binary,n:long>>"
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int = 16 << 20):
+def _slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20):
     """``batch`` in parts of about ``most`` bytes of a text column."""
     ends, lo = np.cumsum(pc.binary_length(batch.column(column)).to_numpy().astype(np.int64)), 0
     while lo < len(ends):
@@ -266,7 +272,7 @@ def code_texts(lean: DataFrame, corpus: Corpus, vocabulary: Vocabulary, at: str)
                 )
                 uid += n
 
-    coded = materialize(lean.select("doc_id", "held", "text").mapInArrow(run, _CODED), "coded", at)
+    coded = materialize(lean.select("doc_id", "held", "text").mapInArrow(giving_back(run), _CODED), "coded", at)
     shared.destroy()
     return coded
 
@@ -283,7 +289,7 @@ def _moved(rows: DataFrame, bits_of, mixer, left_out: LeftOut) -> None:
         yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], names=["data"])
 
     total = Statistics.none(inputs)
-    for r in rows.mapInArrow(partial, "data binary").collect():
+    for r in rows.mapInArrow(giving_back(partial), "data binary").collect():
         total.add(bytes(r["data"]))
     shared.destroy()
     mixer.move(total)
@@ -427,7 +433,7 @@ def _least(rare: DataFrame, most: int) -> int:
 def train(lean: DataFrame, at: str, hot_words: int = 65_000, warm_words: int = 131_000, sample_tokens: int = 60_000, sample_words: int = 6_000):
     """Corpus, vocabulary, both models, the table (word, count, n_main, cls) of rare words but warm ones, all learnt from the rows of ``lean``
     (doc_id, held, text) that are not held out, and all rows coded."""
-    counted = lean.where("not held").select("text").mapInArrow(_count_words, "cls int, word binary, n long")
+    counted = lean.where("not held").select("text").mapInArrow(giving_back(_count_words), "cls int, word binary, n long")
     # one shuffle serves both sums; a task sends each word once for every 300 000 distinct ones, so no key is large
     sums = counted.repartition("word").groupBy("word", "cls").agg(F.sum("n").alias("n"))
     words = sums.groupBy("word").agg(F.sum("n").alias("count"), F.max(F.col("n") * 256 + F.col("cls")).alias("main"))
@@ -493,7 +499,7 @@ def score(docs: DataFrame, held_out, **how) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), *more], names=["uid", "doc_id", "held", "size", "n_tokens", "n_known", "base", "full"])
 
     sums = "n_tokens long, n_known long, base double, full double"
-    whole = coded.select("uid", "doc_id", "held", "size", "cls", "symbols", "known", "base", "full").mapInArrow(mixed, f"uid long, doc_id long, held boolean, size long, {sums}")
+    whole = coded.select("uid", "doc_id", "held", "size", "cls", "symbols", "known", "base", "full").mapInArrow(giving_back(mixed), f"uid long, doc_id long, held boolean, size long, {sums}")
     # the rare words of a partition are far fewer than the rows that meet them, which need no order
     met = coded.select("uid", "cls", F.explode("others").alias("x")).select("uid", "cls", "x.word", "x.n").join(rare.withColumnRenamed("cls", "main").hint("shuffle_hash"), "word", "left")
     in_class = F.when(F.col("cls") == F.col("main"), F.col("n_main")).otherwise(0)  # of the class that has most of a word

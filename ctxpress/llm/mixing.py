@@ -392,13 +392,21 @@ class WordModel:
 
     def all_bits(self, keys: list[np.ndarray], names: tuple[str, ...] = ("cls", "before", "place"), most: int = 200_000):
         """slots, bit, depth and times of the bits of the tokens with these ``keys``, made of the contexts ``names``: a bit
-        that is the same in several tokens comes once, as far as ``most`` distinct tokens next to each other go."""
-        keys = np.concatenate(keys)
-        keys.sort()
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        times, keys = np.diff(first, append=len(keys)), keys.take(first)
-        for lo in range(0, len(keys), most):
-            yield from self._bits(keys[lo : lo + most], times[lo : lo + most], names)
+        that is the same in several tokens comes once, as far as about ``most`` tokens next to each other go. The list is
+        emptied, so that the keys are held once."""
+        whole, lo = np.empty(sum(map(len, keys)), np.uint64), 0
+        while keys:
+            part = keys.pop()
+            whole[lo : lo + len(part)] = part
+            lo += len(part)
+        whole.sort()
+        lo = 0
+        while lo < len(whole):
+            hi = int(np.searchsorted(whole, whole[min(lo + most, len(whole)) - 1], "right"))  # equal tokens stay together
+            part = whole[lo:hi]
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            yield from self._bits(part.take(first), np.diff(first, append=len(part)), names)
+            lo = hi
 
     def _bits(self, key: np.ndarray, times: np.ndarray, names: tuple[str, ...]):
         own = self.tree.leaves.take((key & _U(0x1FFFF)).astype(np.int64))

@@ -200,3 +200,67 @@ def test_looked_up_words_score_as_joined_ones(spark):
     for k, r in joined.items():
         assert (looked[k]["n_tokens"], looked[k]["n_known"]) == (r["n_tokens"], r["n_known"])
         assert (looked[k]["base_score"], looked[k]["score"]) == pytest.approx((r["base_score"], r["score"]), rel=1e-9)
+
+
+def test_training_holds_its_keys_once():
+    """Memory to take equal bits of many tokens once: that of the keys, not that of several arrays as long."""
+    import tracemalloc
+
+    rng = np.random.default_rng(11)
+    model, n = WordModel([5, 6, *range(60, 22, -1)], 14), 1 << 20
+    symbols, place, cls = rng.integers(2, 40, n), 1 << rng.integers(0, 40, n), rng.integers(0, 64, n)
+    keys = [k.copy() for k in np.array_split(model.keys(symbols, place, cls), 32)]
+    tracemalloc.start()
+    found = sum(int(times.sum()) for *_, times in model.all_bits(keys, most=10_000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == int(model.tree.length.take(symbols).sum())
+    assert peak < 2 * 8 * n
+
+
+def test_counting_holds_distinct_words():
+    """Memory to count a task's words: that of the distinct words of each 1000 texts."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from ctxpress.llm.context_mixing import _count_words
+
+    texts = [" ".join(f"w{k % 500}" for k in range(n, n + 150)) for n in range(8_000)]
+    batch, usual = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(usual)
+    tracemalloc.start()
+    pa.set_memory_pool(pool)
+    try:
+        rows = [r for b in _count_words(iter([batch])) for r in b.to_pylist()]
+    finally:
+        pa.set_memory_pool(usual)
+        peak = tracemalloc.get_traced_memory()[1] + pool.max_memory()
+        tracemalloc.stop()
+    assert sum(r["n"] for r in rows if r["word"][:1] == b"w") == 8_000 * 150
+    assert len(rows) == 501 and peak < 30e6
+
+
+def test_a_task_gives_memory_back():
+    """Batches pass unchanged, and what was freed goes back to the system, also if a task fails."""
+    import psutil
+
+    from ctxpress.llm.common import giving_back
+
+    def run(batches):
+        blocks = [bytearray(60_000) for _ in range(2_000)]  # below the size that the allocator maps, so it keeps them
+        keep.extend(bytearray(1_000) for _ in range(50))
+        yield from batches
+        del blocks
+        if failing:
+            raise ValueError
+
+    keep: list = []
+    for failing in (False, True):
+        before, got = psutil.Process().memory_info().rss, []
+        try:
+            for x in giving_back(run)(iter([1, 2, 3])):
+                got.append(x)
+        except ValueError:
+            assert failing
+        assert got == [1, 2, 3] and psutil.Process().memory_info().rss < before + 40e6
