@@ -94,6 +94,10 @@ def _shared_grams(ref: list[str], cand: list[str]) -> list[int]:
         return _shared_numbers(np.array(a), np.array(b), len(number))
     out = []
     for n in range(1, 5):
+        of_a, of_b = (set(zip(*(x[k:] for k in range(n)))) for x in (a, b))
+        if len(of_b) == len(b) - n + 1:  # each once
+            out.append(len(of_a & of_b))
+            continue
         have: dict = {}
         for g in zip(*(b[k:] for k in range(n))):
             have[g] = have.get(g, 0) + 1

@@ -6,7 +6,6 @@ import math
 import re
 from collections import Counter
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -116,16 +115,16 @@ def retention(wanted: Column, text: Column) -> Column:
     return let(wanted, lambda w: F.when(F.size(w) == 0, 1.0).otherwise(F.size(F.filter(w, lambda x: text.contains(x))) / F.size(w)))
 
 
-def tfidf_cosine(a: str, b: str, stop: frozenset[str]) -> float | None:
-    """Cosine of the two texts' term weights, each other's only corpus; null without any term."""
-    import regex
-
-    one, two = (Counter(t for t in regex.findall(r"\b\w\w+\b", x.lower()) if t not in stop) for x in (a, b))
-    if not one and not two:
+def tfidf_cosine(a: list[str], b: list[str]) -> float | None:
+    """Cosine of two texts' term weights, each other's only corpus, from their terms; null without any term."""
+    if not a and not b:
         return None
-    idf = lambda t: 1.0 if t in one and t in two else math.log(1.5) + 1
-    dot = sum(n * two[t] for t, n in one.items() if t in two)
-    norm = math.prod(math.sqrt(sum((n * idf(t)) ** 2 for t, n in c.items())) for c in (one, two))
+    one, two = Counter(a), Counter(b)
+    both, rare = one.keys() & two.keys(), (math.log(1.5) + 1) ** 2
+    dot, norm = sum([one[t] * two[t] for t in both]), 1.0
+    for c in (one, two):
+        shared = sum([c[t] ** 2 for t in both])
+        norm *= math.sqrt(shared + rare * (sum([n * n for n in c.values()]) - shared))
     return max(0.0, min(1.0, dot / norm)) if norm else 0.0
 
 
@@ -137,13 +136,13 @@ def similarity(original: Column, rewrite: Column) -> Column:
 
     stop = frozenset(StopWordsRemover.loadDefaultStopWords("english"))
 
-    @F.pandas_udf("double")
-    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else tfidf_cosine(x, y, stop) for x, y in zip(a, b, strict=True)], dtype="float64")
+    @F.arrow_udf("double")
+    def cosine(a: pa.Array, b: pa.Array) -> pa.Array:
+        terms = rows.terms_finder(stop)
+        return pa.array([None if x is None or y is None else tfidf_cosine(terms([x])[0], terms([y])[0]) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
     blank = (strip(original) == "") | (strip(rewrite) == "")
-    found = F.nanvl(cosine(original, rewrite), F.lit(None).cast("double"))
-    return F.when(blank, 0.0).otherwise(F.coalesce(found, overlap(original, rewrite)))
+    return F.when(blank, 0.0).otherwise(F.coalesce(cosine(original, rewrite), overlap(original, rewrite)))
 
 
 def structure_problems(original_tokens: Column, rewrite_tokens: Column, rewrite: Column) -> Column:
@@ -168,22 +167,17 @@ def validate(
     n, m = token_count(a), token_count(b)
     low, kept = F.lower(b), retentions(a, b)
     missing = F.filter(F.array(*map(F.lit, keywords)).cast("array<string>"), lambda k: ~low.contains(F.lower(k)))
-    parts = F.struct(
-        structure_problems(n, m, b).alias("wrong"), F.when(strip(b) == "", 0.0).otherwise(m / F.greatest(n, F.lit(1))).alias("ratio"),
-        kept["inst"].alias("inst"), kept["ent"].alias("ent"), similarity_of(a, b).alias("sim"), missing.alias("missing"),
+    # plain expressions, so that figures nobody reads are not computed
+    wrong, ratio = structure_problems(n, m, b), F.when(strip(b) == "", 0.0).otherwise(m / F.greatest(n, F.lit(1)))
+    inst, ent, sim = kept["inst"], kept["ent"], similarity_of(a, b)
+    share = 1.0 - F.size(missing) / max(1, len(keywords))
+    failures = F.concat(wrong, F.array_compact(F.array(
+        F.when(inst < min_instructions, F.format_string("Instruction retention too low: %.2f", inst)),
+        F.when(ent < min_entities, F.format_string("Entity retention too low: %.2f", ent)),
+        F.when(sim < min_similarity, F.format_string("Similarity too low: %.3f", sim)),
+        F.when(F.size(missing) > 0, F.concat(F.lit("Missing required keywords: "), F.array_join(missing, ", "))),
+    )))
+    return F.struct(
+        (F.size(failures) == 0).alias("passed"), F.bround(sim, 4).alias("similarity"), inst.alias("instruction_retention"), ent.alias("entity_retention"),
+        F.bround(ratio, 4).alias("token_reduction"), F.bround(share, 4).alias("keyword_retention"), failures.alias("failures"),
     )
-
-    def judged(x: Column) -> Column:
-        share = 1.0 - F.size(x["missing"]) / max(1, len(keywords))
-        failures = F.concat(x["wrong"], F.array_compact(F.array(
-            F.when(x["inst"] < min_instructions, F.format_string("Instruction retention too low: %.2f", x["inst"])),
-            F.when(x["ent"] < min_entities, F.format_string("Entity retention too low: %.2f", x["ent"])),
-            F.when(x["sim"] < min_similarity, F.format_string("Similarity too low: %.3f", x["sim"])),
-            F.when(F.size(x["missing"]) > 0, F.concat(F.lit("Missing required keywords: "), F.array_join(x["missing"], ", "))),
-        )))
-        return F.struct(
-            (F.size(failures) == 0).alias("passed"), F.bround(x["sim"], 4).alias("similarity"), x["inst"].alias("instruction_retention"),
-            x["ent"].alias("entity_retention"), F.bround(x["ratio"], 4).alias("token_reduction"), F.bround(share, 4).alias("keyword_retention"), failures.alias("failures"),
-        )
-
-    return let(parts, judged)

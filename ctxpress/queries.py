@@ -147,10 +147,10 @@ def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def validate_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of instructions, entities and keywords that a shorter wording keeps, and its size."""
-    own = rewordings(spark, sf_dir).withColumn("v", validation.validate(F.col("text"), F.col("other"), ("order",)))
+    own, v = rewordings(spark, sf_dir), validation.validate(F.col("text"), F.col("other"), ("order",))
     return own.select(
-        "prompt_id", F.round("v.instruction_retention", 6).alias("instruction_retention"), F.round("v.entity_retention", 6).alias("entity_retention"),
-        F.round("v.token_reduction", 4).alias("token_reduction"), F.round("v.keyword_retention", 4).alias("keyword_retention"),
+        "prompt_id", F.round(v["instruction_retention"], 6).alias("instruction_retention"), F.round(v["entity_retention"], 6).alias("entity_retention"),
+        F.round(v["token_reduction"], 4).alias("token_reduction"), F.round(v["keyword_retention"], 4).alias("keyword_retention"),
     )
 
 
