@@ -1,15 +1,20 @@
 """What kind of content a text is: seventeen scores, the best of them, and figures of its structure, as columns.
 
-Every figure a score needs is counted once per text (built-in expressions, one projection, no shuffle); the scores are
-arithmetic over those figures, written as SQL that Spark and the oracle both understand.
+Every figure a score needs is counted once per text by one Arrow function (no shuffle); the scores are arithmetic over those
+figures, written as SQL that Spark and the oracle both understand.
 """
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ctxpress.functions.text import let, strip, token_count, words
+from ctxpress.functions import rows
+from ctxpress.functions.text import let, strip, token_count
 
 # Fixed values: (flags, pattern) of each signal; flags: m multi-line, i any case, s dot matches all.
 SIGNALS = {
@@ -145,27 +150,79 @@ TYPES = (*SCORES, "general_text")
 _P = "__ctx_"
 
 
-def match_count(text: Column, flags: str, pattern: str, cap: int = MATCH_CAP) -> Column:
-    """Matches that do not overlap, ``cap`` at most."""
-    return F.least(F.regexp_count(text, F.lit(f"(?Ud{flags}{'u' if 'i' in flags else ''})" + pattern)), F.lit(cap))
-
-
 def lines_of(text: Column) -> Column:
     """The lines that are not blank."""
     return F.filter(F.split(text, "\n"), lambda x: strip(x) != "")
 
 
-def figures(text: Column) -> dict[str, Column]:
-    """Everything the scores read, by name."""
-    chars = lambda cls: F.length(text) - F.length(F.regexp_replace(text, f"[{cls}]", ""))
-    s = strip(text)
-    return {
-        **{name: match_count(text, flags, pattern) for name, (flags, pattern) in SIGNALS.items()},
-        "n_lines": F.size(lines_of(text)), "first_char": F.substring(s, 1, 1), "last_char": F.substring(s, -1, 1), "n_stripped": F.length(s),
-        "n_curly": chars(r"{}"), "n_square": chars(r"\[\]"), "n_semicolon": chars(";"), "n_paren": chars("()"),
-        "n_indented": F.size(F.filter(F.split(text, "\n"), lambda x: x.startswith("    "))),
-        "n_paragraphs": F.size(F.filter(F.split(text, "\n\n"), lambda x: strip(x) != "")), "n_words": F.size(words(text)),
-    }
+_COUNTS = ("n_lines", "n_stripped", "n_curly", "n_square", "n_semicolon", "n_paren", "n_indented", "n_paragraphs", "n_words")
+
+
+def figures(text: Column) -> Column:
+    """Struct of everything the scores read, of texts that are not null.
+
+    A signal is only counted in texts that hold what it needs: one RE2 pass a signal over all texts of a batch misses none.
+    """
+    @F.arrow_udf("struct<" + ",".join([*(f"{k}:int" for k in (*SIGNALS, *_COUNTS)), "first_char:string", "last_char:string"]) + ">")
+    def run(texts: pa.Array) -> pa.Array:
+        own = texts.to_pylist()
+        strange = [rows.is_odd(t) for t in own]
+        columns = []
+        for name, pattern in SIGNALS.items():
+            count, column = _counter(*pattern), [0] * len(own)
+            for i, there in enumerate(rows.matches(texts, _HINTS[name])):
+                if there:
+                    column[i] = min(count(own[i], strange[i]), MATCH_CAP)
+            columns.append(pa.array(column, pa.int32()))
+        counts = [_count(t) for t in own]
+        columns += [pa.array([c[k] for c in counts], pa.int32()) for k in range(len(_COUNTS))]
+        columns += [pa.array([c[-1][:1] for c in counts], pa.string()), pa.array([c[-1][-1:] for c in counts], pa.string())]
+        return pa.StructArray.from_arrays(columns, [*SIGNALS, *_COUNTS, "first_char", "last_char"])
+
+    return run(text)
+
+
+def _count(t: str) -> tuple:
+    """The figures ``_COUNTS`` of a text, then the text without blanks around it."""
+    s, lines, n = t.strip(), t.split("\n"), t.count
+    return (
+        sum([x != "" and not x.isspace() for x in lines]), len(s), n("{") + n("}"), n("[") + n("]"), n(";"), n("(") + n(")"),
+        sum([x.startswith("    ") for x in lines]) if "    " in t else 0, sum([x != "" and not x.isspace() for x in t.split("\n\n")]), len(t.split()), s,
+    )
+
+
+@lru_cache(None)
+def _counter(flags: str, pattern: str):
+    """A function from a text, and whether Java and Python may differ on its words, to the number of matches."""
+    def compiled(engine, words: bool):
+        how = sum(getattr(engine, f.upper()) for f in flags)
+        return engine.compile(rows.spelt(pattern, words), how).finditer
+
+    plain, odd = compiled(re, False), []
+
+    def count(t: str, strange: bool) -> int:
+        if not strange:
+            return sum(1 for _ in plain(t))
+        if not odd:
+            import regex
+
+            odd.append(compiled(regex, True))
+        return sum(1 for _ in odd[0](t.translate(rows.FOLD) if "i" in flags else t))
+
+    return count
+
+
+def _hint(flags: str, pattern: str) -> str:
+    """An RE2 pattern that is found in every text in which the given one is: no bounds, and wider classes."""
+    wide = r"0-9A-Za-z_\x{80}-\x{10FFFF}"
+    out = pattern.replace(r"\b", "").replace(r"[\w.-]", f"[{wide}.-]").replace(r"[\w-]", f"[{wide}-]").replace(r"[\w/{}-]", rf"[{wide}/{{}}-]").replace(r"\w", f"[{wide}]")
+    out = out.replace(r"\s", r"[\t-\r \x{80}-\x{10FFFF}]").replace(r"\S", r"[^\t-\r ]").replace(r"\d", r"\p{Nd}")
+    if "i" in flags:
+        out = re.sub(r"(?<![\\{\w])[iI](?![:)])|(?<=[a-zA-Z])[iI]", lambda m: f"[{m[0]}\u0131\u0130]", out)
+    return (f"(?{flags})" if flags else "") + out
+
+
+_HINTS = {name: _hint(*pattern) for name, pattern in SIGNALS.items()}
 
 
 def _bracket_depth(marks: Column, opens) -> Column:
@@ -206,39 +263,41 @@ def line_share(text: Column, pattern: str, flags: str = "") -> Column:
     return F.bround(hits / F.greatest(F.size(own), F.lit(1)), 4)
 
 
-def content_profile(df: DataFrame, text_col: str = "text") -> DataFrame:
+def content_profile(df: DataFrame, text_col: str = "text", brief: bool = False) -> DataFrame:
     """``df`` with ``profile``: struct of content_type, confidence, secondary_types, has_structure, estimated_tokens, language_hint,
-    structure_depth, instruction_density, entity_density. A null or blank text is general text with confidence 1."""
+    structure_depth, instruction_density, entity_density. A null or blank text is general text with confidence 1.
+
+    ``brief``: content_type, confidence and has_structure only, which need no further walk over the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    counted = df.select("*", F.struct(*(c.alias(k) for k, c in figures(text).items())).alias(f"{_P}f"))
-    inner = counted.withColumns({f"{_P}x": F.array(*(F.struct(F.lit(k).alias("name"), F.lit(i).alias("turn"), F.expr(_in(f"{_P}f", e)).alias("score")) for i, (k, e) in enumerate(SCORES.items())))})
-    capped = F.transform(f"{_P}x", lambda x: F.struct((-F.least(x["score"], F.lit(1.0))).alias("order"), x["turn"].alias("turn"), x["name"].alias("name")))
-    ranked = inner.withColumn(f"{_P}r", F.array_sort(capped))
+    counted = df.select("*", figures(text).alias(f"{_P}f"))
+    scores = [F.struct((-F.least(F.expr(_in(f"{_P}f", e)), F.lit(1.0))).alias("order"), F.lit(i).alias("turn"), F.lit(k).alias("name")) for i, (k, e) in enumerate(SCORES.items())]
+    ranked = counted.withColumn(f"{_P}r", F.sort_array(F.array(*scores)))
     best = -F.get(f"{_P}r", F.lit(0))["order"]
-    blank = strip(text) == ""
+    blank = F.col(f"{_P}f.n_stripped") == 0
     name = F.when(blank | (best < THRESHOLD), F.lit("general_text")).otherwise(F.get(f"{_P}r", F.lit(0))["name"])
     named = ranked.withColumn(f"{_P}t", name).withColumn(f"{_P}c", F.when(best < THRESHOLD, 1.0 - best).otherwise(best))
     kind = F.col(f"{_P}t")
     others = F.slice(F.transform(F.filter(f"{_P}r", lambda x: ~blank & (-x["order"] >= THRESHOLD) & (x["name"] != kind)), lambda x: x["name"]), 1, MOST_SECONDARY)
-    hints = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
-    depth = F.when(kind == "json", json_depth(text)).when(kind == "yaml", yaml_depth(text)).when(kind == "markdown", heading_depth(text)).when(kind.isin("xml", "html"), xml_depth(text)).otherwise(0)
-    profile = F.struct(
-        kind.alias("content_type"),
-        F.when(blank, 1.0).otherwise(F.bround(f"{_P}c", 4)).alias("confidence"),
-        others.alias("secondary_types"),
-        (kind.isin(*STRUCTURED) | F.arrays_overlap(others, F.array(*map(F.lit, STRUCTURED)))).alias("has_structure"),
-        F.when(blank, 0).otherwise(token_count(text)).alias("estimated_tokens"),
-        hints[kind].alias("language_hint"),
-        depth.alias("structure_depth"),
-        line_share(text, INSTRUCTION_LINE, "i").alias("instruction_density"),
-        line_share(text, ENTITY_LINE).alias("entity_density"),
-    )
-    return named.withColumn("profile", profile).drop(f"{_P}f", f"{_P}x", f"{_P}r", f"{_P}t", f"{_P}c")
+    told = {
+        "content_type": kind,
+        "confidence": F.when(blank, 1.0).otherwise(F.bround(f"{_P}c", 4)),
+        "secondary_types": others,
+        "has_structure": kind.isin(*STRUCTURED) | F.arrays_overlap(others, F.array(*map(F.lit, STRUCTURED))),
+    }
+    if brief:
+        del told["secondary_types"]
+    else:
+        hints = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
+        depth = F.when(kind == "json", json_depth(text)).when(kind == "yaml", yaml_depth(text)).when(kind == "markdown", heading_depth(text)).when(kind.isin("xml", "html"), xml_depth(text)).otherwise(0)
+        told |= {
+            "estimated_tokens": F.when(blank, 0).otherwise(token_count(text)), "language_hint": hints[kind], "structure_depth": depth,
+            "instruction_density": line_share(text, INSTRUCTION_LINE, "i"), "entity_density": line_share(text, ENTITY_LINE),
+        }
+    profile = F.struct(*(c.alias(k) for k, c in told.items()))
+    return named.withColumn("profile", profile).drop(f"{_P}f", f"{_P}r", f"{_P}t", f"{_P}c")
 
 
 def _in(struct: str, expression: str) -> str:
     """The expression with every figure read from a struct column."""
-    import re
-
     names = {*SIGNALS, "n_lines", "first_char", "last_char", "n_stripped", "n_curly", "n_square", "n_semicolon", "n_paren", "n_indented", "n_paragraphs", "n_words"}
     return re.sub(r"[a-z][a-z0-9_]*", lambda m: f"{struct}.{m[0]}" if m[0] in names else m[0], expression)

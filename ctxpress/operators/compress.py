@@ -280,7 +280,7 @@ def compress(df: DataFrame, text_col: str = "text", **how) -> DataFrame:
     ready = own.withColumn(f"{_P}tokens", token_count(text))
     if settings.detect_content:
         held = ready.withColumnRenamed("profile", f"{_P}own") if "profile" in ready.columns else ready
-        ready = content_profile(held, text_col).withColumnRenamed("profile", f"{_P}profile")
+        ready = content_profile(held, text_col, brief=True).withColumnRenamed("profile", f"{_P}profile")
         ready = ready.withColumnRenamed(f"{_P}own", "profile") if "profile" in own.columns else ready
     kind = F.col(f"{_P}profile.content_type") if settings.detect_content else None
     mode = resolve_mode("auto" if settings.mode is None and settings.detect_content else settings.mode, kind)

@@ -175,7 +175,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content type, confidence and mode of every text."""
     p = F.col("profile")
-    done = content_profile(texts(spark, sf_dir))
+    done = content_profile(texts(spark, sf_dir), brief=True)
     return done.select("id", p["content_type"].alias("content_type"), p["confidence"].alias("confidence"), p["has_structure"].alias("has_structure"), mode_of(p["content_type"]).alias("mode"))
 
 
