@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,30 +159,128 @@ def lines_of(text: Column) -> Column:
 _COUNTS = ("n_lines", "n_stripped", "n_curly", "n_square", "n_semicolon", "n_paren", "n_indented", "n_paragraphs", "n_words")
 
 
-def figures(text: Column) -> Column:
-    """Struct of everything the scores read, of texts that are not null.
+def figures(texts: pa.Array) -> dict[str, np.ndarray]:
+    """Everything the scores read of texts that are not null, by name.
 
-    A signal is only counted in texts that hold what it needs: one RE2 pass a signal over all texts of a batch misses none.
+    A signal is only counted in texts that hold what it needs: RE2 looks for a group of signals, then for each of the group
+    where it found any, and misses none.
     """
-    @F.arrow_udf("struct<" + ",".join([*(f"{k}:int" for k in (*SIGNALS, *_COUNTS)), "first_char:string", "last_char:string"]) + ">")
-    def run(texts: pa.Array) -> pa.Array:
-        own = texts.to_pylist()
-        strange = [rows.is_odd(t) for t in own]
-        columns = []
-        for name, pattern in SIGNALS.items():
-            count, column = _counter(*pattern), [0] * len(own)
-            for i, there in enumerate(rows.matches(texts, _HINTS[name])):
+    own = texts.to_pylist()
+    strange = [rows.is_odd(t) for t in own]
+    found = {name: np.zeros(len(own)) for name in SIGNALS}
+    for group, hint in _GROUPS:
+        some = [i for i, there in enumerate(rows.matches(texts, hint)) if there]
+        those = texts.take(pa.array(some, pa.int64()))
+        for name in group if some else ():
+            count, column = _counter(*SIGNALS[name]), found[name]
+            for i, there in zip(some, rows.matches(those, _HINTS[name]), strict=True):
                 if there:
                     column[i] = min(count(own[i], strange[i]), MATCH_CAP)
-            columns.append(pa.array(column, pa.int32()))
-        counts = [_count(t) for t in own]
-        columns += [pa.array([c[k] for c in counts], pa.int32()) for k in range(len(_COUNTS))]
-        columns += [pa.array([c[-1][:1] for c in counts], pa.string()), pa.array([c[-1][-1:] for c in counts], pa.string())]
-        return pa.StructArray.from_arrays(columns, [*SIGNALS, *_COUNTS, "first_char", "last_char"])
+    counts = [_count(t) for t in own]
+    found |= {k: np.array([c[j] for c in counts], float) for j, k in enumerate(_COUNTS)}
+    ends = [c[-1] for c in counts]
+    return found | {"first_char": np.array([x[:1] for x in ends], "U1"), "last_char": np.array([x[-1:] for x in ends], "U1")}
+
+
+_RANKED = "struct<name:string,best:double,others:array<string>,n_stripped:int>"
+
+
+def _ranked(text: Column) -> Column:
+    """Struct of the best type, its score, up to three further types above the threshold and the text's length without blanks."""
+    @F.arrow_udf(_RANKED)
+    def run(texts: pa.Array) -> pa.Array:
+        own = figures(texts)
+        scores = np.array([np.minimum(np.broadcast_to(f(own), len(texts)), 1.0) for f in _scorers()])
+        order = np.argsort(-scores, axis=0, kind="stable")
+        names, n, best = np.array(list(SCORES), object), own["n_stripped"], scores.max(axis=0)
+        general = (n == 0) | (best < THRESHOLD)
+        next_ = order[1 : 1 + MOST_SECONDARY]
+        above = (np.take_along_axis(scores, next_, axis=0) >= THRESHOLD) & (n > 0)
+        others = [list(names[next_[above[:, i], i]]) for i in range(len(texts))] if above.any() else [[]] * len(texts)
+        return pa.StructArray.from_arrays(
+            [pa.array(np.where(general, "general_text", names[order[0]]), pa.string()), pa.array(best, pa.float64()), pa.array(others, pa.list_(pa.string())), pa.array(n.astype(np.int32))],
+            ["name", "best", "others", "n_stripped"],
+        )
 
     return run(text)
 
 
+@lru_cache(1)
+def _scorers() -> list:
+    """``SCORES`` as functions of figures."""
+    return [eval(f"lambda f: {_Arrays(e).source}", {"np": np}) for e in SCORES.values()]  # noqa: S307 (our own expressions)
+
+
+class _Arrays:
+    """An expression of ``SCORES`` as source over NumPy arrays in a mapping ``f``."""
+
+    def __init__(self, expression: str):
+        self.rest = re.findall(r"'[^']*'|[\d.]+(?:e0)?|[a-z_]\w*|[<>]=|[-+*/(),=<>]", expression)
+        self.source = self.either()
+        assert not self.rest
+
+    def take(self, *wanted: str) -> str | None:
+        return self.rest.pop(0) if self.rest and self.rest[0] in wanted else None
+
+    def chain(self, below, ops: dict[str, str]) -> str:
+        out = below()
+        while op := self.take(*ops):
+            out = f"({out} {ops[op]} {below()})"
+        return out
+
+    def either(self) -> str:
+        return self.chain(self.both, {"or": "|"})
+
+    def both(self) -> str:
+        return self.chain(self.compared, {"and": "&"})
+
+    def compared(self) -> str:
+        out = self.sum()
+        if op := self.take("=", "<", ">", "<=", ">="):
+            return f"({out} {'==' if op == '=' else op} {self.sum()})"
+        if self.take("in"):
+            return f"np.isin({out}, [{self.arguments()}])"
+        if self.take("between"):
+            low = self.sum()
+            self.rest.pop(0)
+            return f"(({out} >= {low}) & ({out} <= {self.sum()}))"
+        return out
+
+    def sum(self) -> str:
+        return self.chain(self.product, {"+": "+", "-": "-"})
+
+    def product(self) -> str:
+        return self.chain(self.atom, {"*": "*", "/": "/"})
+
+    def arguments(self) -> str:
+        out, _ = [], self.rest.pop(0)
+        while not self.take(")"):
+            out.append(self.either())
+            self.take(",")
+        return ", ".join(out)
+
+    def atom(self) -> str:
+        token = self.rest.pop(0)
+        if token == "(":
+            out = self.either()
+            self.rest.pop(0)
+            return out
+        if token == "case":
+            parts = []
+            while self.take("when"):
+                condition, _ = self.either(), self.rest.pop(0)
+                parts.append((condition, self.either()))
+            self.rest.pop(0)
+            out, _ = self.either(), self.rest.pop(0)
+            for condition, value in reversed(parts):
+                out = f"np.where({condition}, {value}, {out})"
+            return out
+        if self.rest[:1] == ["("]:
+            name = {"least": "np.minimum", "greatest": "np.maximum", "chr": "chr"}[token]
+            return f"{name}({self.arguments()})"
+        return f"f[{token!r}]" if token[0].isalpha() else token
+
+
 def _count(t: str) -> tuple:
     """The figures ``_COUNTS`` of a text, then the text without blanks around it."""
     s, lines, n = t.strip(), t.split("\n"), t.count
@@ -223,6 +322,7 @@ def _hint(flags: str, pattern: str) -> str:
 
 
 _HINTS = {name: _hint(*pattern) for name, pattern in SIGNALS.items()}
+_GROUPS = [(own, "|".join(f"(?:{_HINTS[k]})" for k in own)) for at in range(0, len(SIGNALS), 6) for own in [list(SIGNALS)[at : at + 6]]]
 
 
 def _bracket_depth(marks: Column, opens) -> Column:
@@ -269,18 +369,12 @@ def content_profile(df: DataFrame, text_col: str = "text", brief: bool = False)
 
     ``brief``: content_type, confidence and has_structure only, which need no further walk over the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    counted = df.select("*", figures(text).alias(f"{_P}f"))
-    scores = [F.struct((-F.least(F.expr(_in(f"{_P}f", e)), F.lit(1.0))).alias("order"), F.lit(i).alias("turn"), F.lit(k).alias("name")) for i, (k, e) in enumerate(SCORES.items())]
-    ranked = counted.withColumn(f"{_P}r", F.sort_array(F.array(*scores)))
-    best = -F.get(f"{_P}r", F.lit(0))["order"]
-    blank = F.col(f"{_P}f.n_stripped") == 0
-    name = F.when(blank | (best < THRESHOLD), F.lit("general_text")).otherwise(F.get(f"{_P}r", F.lit(0))["name"])
-    named = ranked.withColumn(f"{_P}t", name).withColumn(f"{_P}c", F.when(best < THRESHOLD, 1.0 - best).otherwise(best))
-    kind = F.col(f"{_P}t")
-    others = F.slice(F.transform(F.filter(f"{_P}r", lambda x: ~blank & (-x["order"] >= THRESHOLD) & (x["name"] != kind)), lambda x: x["name"]), 1, MOST_SECONDARY)
+    found = F.col(f"{_P}r")
+    named = df.select("*", _ranked(text).alias(f"{_P}r"))
+    kind, best, others, blank = found["name"], found["best"], found["others"], found["n_stripped"] == 0
     told = {
         "content_type": kind,
-        "confidence": F.when(blank, 1.0).otherwise(F.bround(f"{_P}c", 4)),
+        "confidence": F.when(blank, 1.0).otherwise(F.bround(F.when(best < THRESHOLD, 1.0 - best).otherwise(best), 4)),
         "secondary_types": others,
         "has_structure": kind.isin(*STRUCTURED) | F.arrays_overlap(others, F.array(*map(F.lit, STRUCTURED))),
     }
@@ -294,10 +388,4 @@ def content_profile(df: DataFrame, text_col: str = "text", brief: bool = False)
             "instruction_density": line_share(text, INSTRUCTION_LINE, "i"), "entity_density": line_share(text, ENTITY_LINE),
         }
     profile = F.struct(*(c.alias(k) for k, c in told.items()))
-    return named.withColumn("profile", profile).drop(f"{_P}f", f"{_P}r", f"{_P}t", f"{_P}c")
-
-
-def _in(struct: str, expression: str) -> str:
-    """The expression with every figure read from a struct column."""
-    names = {*SIGNALS, "n_lines", "first_char", "last_char", "n_stripped", "n_curly", "n_square", "n_semicolon", "n_paren", "n_indented", "n_paragraphs", "n_words"}
-    return re.sub(r"[a-z][a-z0-9_]*", lambda m: f"{struct}.{m[0]}" if m[0] in names else m[0], expression)
+    return named.withColumn("profile", profile).drop(f"{_P}r")
