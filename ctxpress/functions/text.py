@@ -1,11 +1,13 @@
-"""Token counts, paragraphs, sentences and their reassembly as columns: no shuffle, no Python, usable in streams."""
+"""Token counts, paragraphs, sentences and their reassembly as columns: no shuffle, usable in streams."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ctxpress.functions import patterns as P
+from ctxpress.functions import rows
 
 _BLANK = r"(?U)[\s\x1c-\x1f]"
 
@@ -71,6 +73,31 @@ def document_sentences(text: Column) -> Column:
     return F.flatten(F.transform(paragraphs(text), lambda p, k: F.transform(sentences(p), lambda s: F.struct(k.alias("p"), s.alias("s")))))
 
 
+def split_sentences(text: Column) -> Column:
+    """As :func:`document_sentences`, by an Arrow function: many times faster, but not for use within a lambda."""
+    @F.arrow_udf("array<struct<p:int,s:string>>")
+    def run(texts: pa.Array) -> pa.Array:
+        out, at, numbers = [], [0], []
+        for t in texts.to_pylist():
+            own, found = rows.document_sentences_of(t)
+            numbers += own
+            out += found
+            at.append(len(out))
+        flat = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), pa.array(out, pa.string())], ["p", "s"])
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)
+
+    return run(text)
+
+
+def sentence_count(text: Column) -> Column:
+    """Number of sentences of a text; only numbers come back from the Arrow function."""
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([len(rows.document_sentences_of(t)[1]) for t in texts.to_pylist()], pa.int64())
+
+    return run(text)
+
+
 _LIST_LINE = r"(?Ud)^\s*(#{1,6}\s|[-*+]\s|\d+[.)]\s)"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ctxpress.functions import patterns as P
 from ctxpress.functions import scoring as S
 from ctxpress.functions.content import ENTITY_LINE, INSTRUCTION_LINE, MATCH_CAP, SCORES, SIGNALS, STRUCTURED, THRESHOLD, content_profile, heading_depth, json_depth, line_share, xml_depth, yaml_depth
-from ctxpress.functions.text import document_sentences, paragraphs, token_count
+from ctxpress.functions.text import paragraphs, sentence_count, split_sentences, token_count
 from ctxpress.operators import metrics, validation
 from ctxpress.operators.compress import compress, compress_chat
 from ctxpress.operators.cost import PRICES, savings_summary, with_savings
@@ -79,11 +79,11 @@ def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    return docs.select("doc_id", F.size(document_sentences(F.col("text"))).cast("long").alias("n_sentences"))
+    return docs.select("doc_id", sentence_count(F.col("text")).alias("n_sentences"))
 
 
 def prompt_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = prompts(spark, sf_dir).select("prompt_id", F.posexplode(document_sentences(F.col("text"))).alias("idx", "x"))
+    own = prompts(spark, sf_dir).select("prompt_id", F.posexplode(split_sentences(F.col("text"))).alias("idx", "x"))
     return own.select("prompt_id", F.col("idx").cast("long").alias("idx"), F.col("x.s").alias("sentence"))
 
 
