@@ -174,7 +174,7 @@ def _selection(how: Settings, source: Column) -> Column:
     read = _from_sentences if how.preserve else _from_texts
 
     @F.arrow_udf(_DDL)
-    def run(sources: pa.Array, whole: pa.Array, modes: pa.Array, ratios: pa.Array) -> pa.Array:
+    def run(sources: pa.Array, whole: pa.Array, modes: pa.Array, ratios: pa.Array, _: pa.Array) -> pa.Array:
         terms = rows.terms_finder(stop)
         asked = terms([how.query]) if how.query else []
 
@@ -218,8 +218,10 @@ def _selection(how: Settings, source: Column) -> Column:
             out.append(one(texts, signals, n, mode, ratio) if len(texts) > 1 else {"sentences_total": len(texts), "sentences_kept": len(texts), "num_chunks": 0})
         return pa.array(out, _OUT)
 
+    # read twice, a column of sentences is not inlined into the call
+    again = F.size(source) if how.preserve else F.lit(0)
     # so marked, its call is neither repeated nor moved into a generator, which could not make it
-    return run.asNondeterministic()(source, F.col(f"{_P}tokens"), F.col(f"{_P}mode"), F.col(f"{_P}ratio"))
+    return run.asNondeterministic()(source, F.col(f"{_P}tokens"), F.col(f"{_P}mode"), F.col(f"{_P}ratio"), again)
 
 
 #: Texts that are split at a time, as the signals are looked for in all their sentences at once.
@@ -297,7 +299,7 @@ def compress(df: DataFrame, text_col: str = "text", **how) -> DataFrame:
         gate &= F.col(f"{_P}short").isNull()
     source = F.when(gate, text)
     if settings.preserve:
-        # an Arrow function takes no lambdas, so the sentences must stay a column of their own: what is random is never inlined
+        # an Arrow function takes no lambdas, so the sentences must stay a column of their own: what is random is not inlined if read twice
         ready, source = ready.withColumn(f"{_P}s", F.when(gate & (F.rand(0) >= 0), scored_sentences(text, settings.preserve))), F.col(f"{_P}s")
     done = ready.withColumn(f"{_P}x", _selection(settings, source))  # nothing after this reads the sentences
 
